@@ -2,8 +2,8 @@
 
 Words are the runs of characters between ASCII white space. The vocabulary's rules (composition,
 lower case, the pattern of pre-tokens, special tokens) never look across white space, so the ids of a
-text are those of its words in order. Each distinct word is encoded once, in a table dealt out by
-word; its ids and the pieces they stand for come back to the documents by block and word number
+text are those of its words in order. Each distinct word is encoded once, in a table dealt out by the
+words' hash buckets; its ids and the pieces they stand for come back to the documents by block and word number
 (see wordblocks). Only the vocabulary file is broadcast; its size is that of the vocabulary.
 
 Defined results: null and empty texts have no ids, and the digests of the empty string. A null
@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -24,9 +25,6 @@ from pyspark.sql import types as T
 
 from . import wordblocks as wb
 
-WORD_IDS = T.StructType([T.StructField("block", T.LongType()), T.StructField("idx", T.IntegerType()), T.StructField("ids", T.BinaryType())])
-
-
 @functools.lru_cache(4)
 def tokenizer(vocabulary: str):
     from tokenizers import Tokenizer
@@ -48,25 +46,40 @@ def pieces_table(spark, vocabulary: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(pieces(vocabulary))), "id int, piece string")
 
 
-def _encode(vocabulary: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by word; a word that goes on into the next batch isn't encoded again."""
-    t, last = tokenizer(vocabulary), (None, b"")
-    for batch in batches:
-        coded = batch.column("word").dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        known = words and words[0] == last[0]
-        ids = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(words[known:], add_special_tokens=False)]
-        ids = [last[1], *ids] if known else ids
-        if words:
-            last = words[-1], ids[-1]
-        yield pa.RecordBatch.from_pydict({"block": batch.column("block"), "idx": batch.column("idx"), "ids": pa.array(ids, pa.binary()).take(coded.indices)})
+KNOWN = 2_000_000  # words of a bucket that are kept; a bucket of more encodes some of them again
 
 
-def word_ids(words: DataFrame, vocabulary: str) -> DataFrame:
-    """The ids of each distinct word, for each block that holds it."""
-    shared = words.sparkSession.sparkContext.broadcast(vocabulary)
-    dealt = words.select("block", "idx", "word").repartition("word").sortWithinPartitions("word")
-    return dealt.mapInArrow(lambda b: _encode(shared.value, b), WORD_IDS)
+def _encode(vocabulary: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket, so a word is encoded once: where its bucket first holds it."""
+    t, known, at = tokenizer(vocabulary), {}, None
+    for batch in batches:
+        out = []
+        for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("pack").to_pylist(), strict=True):
+            rows = wb.unpack(data, ("idx",))
+            words = rows["words"].split()
+            if bucket != at or len(known) > KNOWN:
+                known, at = {}, bucket
+            if new := [w for w in words if w not in known]:
+                known.update(zip(new, (e.ids for e in t.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)), strict=True))
+            ids = [known[w] for w in words]
+            out.append(wb.pack({"idx": rows["idx"], "counts": np.fromiter(map(len, ids), np.int64, len(ids)), "ids": np.fromiter(chain.from_iterable(ids), np.int64)}))
+        yield pa.RecordBatch.from_pydict({"block": batch.column("block"), "pack": pa.array(out, pa.binary())})
+
+
+def word_ids(packs: DataFrame, vocabulary: str) -> DataFrame:
+    """block, pack: the ids of each distinct word, for each block that holds it."""
+    shared = packs.sparkSession.sparkContext.broadcast(vocabulary)
+    dealt = packs.repartition("bucket").sortWithinPartitions("bucket", "block")
+    return dealt.mapInArrow(lambda b: _encode(shared.value, b), "block long, pack binary")
+
+
+def _restored(rows: pa.Table) -> pa.Table:
+    """idx, ids (32-bit numbers) of a block's words, in order of idx."""
+    parts = [wb.unpack(p, ("idx", "counts", "ids")) for p in rows.column("pack").to_pylist()]
+    idx, counts, ids = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in ("idx", "counts", "ids"))
+    ends = np.r_[0, np.cumsum(counts)] * 4
+    column = pa.Array.from_buffers(pa.large_binary(), len(idx), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
+    return pa.table({"idx": pa.array(idx), "ids": column}).take(pa.array(np.argsort(idx)))
 
 
 def _split_ids(rows: pa.Table) -> tuple[np.ndarray, list[int], np.ndarray]:
@@ -105,8 +118,8 @@ def _ids(docs: dict, rows: pa.Table) -> pa.Table:
 
 
 def _joined(docs: DataFrame, vocabulary: str, per_block, schema, id_col: str, text_col: str) -> DataFrame:
-    ids = word_ids(wb.block_words(docs, id_col=id_col, text_col=text_col), vocabulary)
-    return wb.rejoined(wb.payloads(docs, id_col=id_col, text_col=text_col), ids, per_block, schema)
+    ids = word_ids(wb.word_packs(docs, id_col, text_col), vocabulary)
+    return wb.rejoined(wb.payloads(docs, id_col=id_col, text_col=text_col), ids, per_block, schema, _restored)
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

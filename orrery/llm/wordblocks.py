@@ -17,6 +17,7 @@ not once per occurrence, and the most frequent word has as many rows as there ar
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import count
@@ -27,7 +28,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
+BUCKETS = 4096
 
 PAYLOAD = T.StructType([T.StructField("block", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("payload", T.BinaryType())])
 WORDS = T.StructType([T.StructField("block", T.LongType()), T.StructField("idx", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("marked", T.LongType())])
@@ -105,6 +107,27 @@ def _block_rows(batches: Iterator[pa.RecordBatch], want: str, lower: bool) -> It
             yield pa.RecordBatch.from_pydict(rows)
 
 
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    task = (TaskContext.get().partitionId() + 1) << 24
+    for seq, table in enumerate(runs(batches)):
+        index = new_index()
+        numbered(table.column("text").cast(pa.binary()).to_pylist(), index)
+        words = list(index)
+        bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % BUCKETS
+        order = np.argsort(bucket, kind="stable")
+        begins = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(words) else []
+        packs = [pack({"idx": part, "words": b" ".join(map(words.__getitem__, part.tolist()))}) for part in np.split(order, begins[1:])] if len(words) else []
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[order][begins] if len(words) else [], pa.int32()), "block": pa.array(np.full(len(packs), task + seq)), "pack": pa.array(packs, pa.binary())})
+
+
+def word_packs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """bucket, block, pack: the block's distinct words of one of BUCKETS hash buckets, with their numbers, in one row."""
+    chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    return chosen.mapInArrow(_packs, "bucket int, block long, pack binary")
+
+
 def _rows(docs: DataFrame, want: str, mark: Column | None, id_col: str, text_col: str, lower: bool = False) -> DataFrame:
     chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), (F.lit(False) if mark is None else mark).alias("mark"))
     return chosen.mapInArrow(lambda b: _block_rows(b, want, lower), {"payload": PAYLOAD, "words": WORDS, "both": BOTH}[want])
@@ -125,15 +148,17 @@ def both(docs: DataFrame, mark: Column | None = None, id_col: str = "doc_id", te
     return _rows(docs, "both", mark, id_col, text_col, lower)
 
 
-def rejoined(payload: DataFrame, words: DataFrame, per_block: Callable, schema: T.StructType) -> DataFrame:
+def rejoined(payload: DataFrame, words: DataFrame, per_block: Callable, schema: T.StructType, restore: Callable | None = None) -> DataFrame:
     """per_block(rows of the payload, table of the block's words in order of idx) for each block.
 
+    restore makes that table, with a column idx, of the rows that came back where they aren't it already.
     A block whose words don't come back whole, because docs was read in other partitions the second
     time, is an error and never a wrong result.
     """
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
+        right = restore(right) if restore else right
         if not left.num_rows:
             raise RuntimeError("words came back of a block that isn't there: its documents were read in another order")
         for n, data in zip(left.column("n_words").to_pylist(), left.column("payload").to_pylist(), strict=True):
