@@ -202,7 +202,9 @@ class Tree:
 
     def grow(self, ctx: np.ndarray, total: dict[int, float], sym: np.ndarray, n: np.ndarray, two: bool) -> None:
         """Adds the contexts that pass the divergence test. Rows are sorted by context."""
-        starts = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]]) if len(ctx) else np.zeros(0, np.int64)
+        if not len(ctx):
+            return
+        starts = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]])
         context, pair, p = [], [], []
         parents = self.states(ctx[starts] % self.size, None)
         for a, b, parent in zip(starts, np.r_[starts[1:], len(ctx)], parents, strict=True):

@@ -88,12 +88,16 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return _mixed((_mixed(bins) * _ODD).sum(axis=1, dtype=np.uint64) + _BAND).astype(np.int64)
 
 
+def _digest(values: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None
+
+
 def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for table in wb.runs(batches, 8 << 20):
         sizes, digests, keys = [], [], []
         for values in shingle_sets(table.column("text").cast(pa.binary()).to_pylist(), width):
             sizes.append(len(values))
-            digests.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None)
+            digests.append(_digest(values))
             keys.append(band_keys(values) if len(values) else None)
         yield pa.RecordBatch.from_pydict({"doc_id": table.column("doc_id").combine_chunks(), "n_shingles": pa.array(sizes, pa.int64()), "class": pa.array(digests, pa.binary()), "bands": pa.array(keys, pa.list_(pa.int64()))})
 
@@ -153,13 +157,16 @@ def _verified(batches: Iterator[pa.RecordBatch], width: int, threshold: float) -
     key, held = None, {}
 
     def out() -> Iterator[pa.RecordBatch]:
-        nodes, texts = list(held), [t for t, _ in held.values()]
-        sides = [b for _, b in held.values()]
-        if len(nodes) > 1:
-            crossed = key[1] != key[2]
-            edges = linked(list(shingle_sets(texts, width)), threshold, np.array(sides) if crossed else None)
-            if edges:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([nodes[x] for x, _ in edges], pa.binary()), "b": pa.array([nodes[y] for _, y in edges], pa.binary())})
+        if len({node for node, _ in held}) < 2:
+            return
+        found = {}  # rows of one id may have other texts than the class's; its digest tells
+        for (node, _), side, values in zip(held, held.values(), shingle_sets([t for _, t in held], width), strict=True):
+            if _digest(values) == node:
+                found[node] = side, values
+        nodes, sides = list(found), np.array([side for side, _ in found.values()])
+        edges = linked([values for _, values in found.values()], threshold, sides if key[1] != key[2] else None) if len(nodes) > 1 else []
+        if edges:
+            yield pa.RecordBatch.from_pydict({"a": pa.array([nodes[x] for x, _ in edges], pa.binary()), "b": pa.array([nodes[y] for _, y in edges], pa.binary())})
 
     for batch in batches:
         rows = [batch.column(k).to_pylist() for k in ("group", "i", "j", "class", "block")]
@@ -167,7 +174,7 @@ def _verified(batches: Iterator[pa.RecordBatch], width: int, threshold: float) -
             if (g, i, j) != key:
                 yield from out()
                 key, held = (g, i, j), {}
-            held.setdefault(node, (text, block))
+            held[node, text] = block
     yield from out()
 
 

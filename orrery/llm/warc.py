@@ -131,6 +131,8 @@ def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
                 name, _, value = line.decode("utf-8", "replace").partition(":")
                 name = name.strip().lower()
                 headers[name] = value.strip()
+        if not line:
+            raise ValueError("the headers of a WARC record are cut off")
         block = stream.read(int(headers.get("content-length", "0")))
         if len(block) != int(headers.get("content-length", "0")):
             raise ValueError("a WARC record is cut off")
