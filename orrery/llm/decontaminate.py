@@ -68,20 +68,21 @@ class Index:
         return np.where(known, key, -1)
 
     def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of known n-grams and their keys."""
+        """Places of known n-grams, and where in grams each stands."""
         keys = self.keys(numbers)
-        at = np.flatnonzero(keys >= 0)
+        at = np.flatnonzero(keys >= 0) if len(self.grams) else np.zeros(0, np.int64)
         near = np.minimum(np.searchsorted(self.grams, keys[at]), len(self.grams) - 1)
-        at = at[self.grams[near] == keys[at]] if len(self.grams) else at[:0]
-        return at, keys[at]
+        found = self.grams[near] == keys[at] if len(at) else np.zeros(0, bool)
+        return at[found], near[found]
 
 
 def _counted(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(len(index.grams), np.int64)
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            _, keys = index.hits(index.numbers(words_of(text)))
-            np.add.at(total, np.searchsorted(index.grams, keys), 1)
+            _, grams = index.hits(index.numbers(words_of(text)))
+            if len(grams):
+                total += np.bincount(grams, minlength=len(total))
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_pydict({"gram": pa.array(index.grams[some]), "n": pa.array(total[some])})
 
@@ -114,16 +115,16 @@ def spans(at: list[int], items: list[tuple[int, int]], sizes: list[int]) -> Iter
 
 
 def _passages(index: Index, rare: dict, min_score: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sizes, wanted = [len(w) for w in index.words], np.array(sorted(rare), np.int64)
+    sizes, wanted = [len(w) for w in index.words], np.array([g in rare for g in index.grams.tolist()], bool)
     for batch in batches:
         out = {"doc_id": [], "item": [], "begin": [], "passage": []}
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             words = words_of(text)
-            at, keys = index.hits(index.numbers(words))
-            use = np.isin(keys, wanted)
+            at, grams = index.hits(index.numbers(words))
+            use = wanted[grams]
             if not use.any():
                 continue
-            pairs = [(a, place) for a, k in zip(at[use].tolist(), keys[use].tolist(), strict=True) for place in rare[k]]
+            pairs = [(a, place) for a, k in zip(at[use].tolist(), index.grams[grams[use]].tolist(), strict=True) for place in rare[k]]
             for i, begin, end in spans([a for a, _ in pairs], [p for _, p in pairs], sizes):
                 if (Counter(words[begin:end]) & index.bags[i]).total() < min_score * sizes[i]:
                     continue
