@@ -19,7 +19,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKET_ROWS, MAX_BUCKETS = 4000, 4096
+from .scratch import written
+
+BUCKET_ROWS, MAX_BUCKETS, BROADCAST_ROWS = 4000, 4096, 500_000
 
 
 def canonical(text: Column) -> Column:
@@ -33,20 +35,28 @@ def hashed(canon: Column) -> Column:
     return F.concat(*wide)
 
 
-def buckets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Buckets of equal texts (fingerprint, group_id, n_copies), fingerprints of different texts, and the documents' canonical texts."""
-    canon = docs.select(docs[id_col].alias("doc_id"), canonical(F.coalesce(docs[text_col], F.lit(""))).alias("canon")).select("doc_id", "canon", hashed(F.col("canon")).alias("fingerprint"))
-    found = canon.groupBy("fingerprint").agg(F.min("canon").alias("low"), F.max("canon").alias("high"), F.min("doc_id").alias("group_id"), F.count("*").alias("n_copies"))
-    told = found.select("fingerprint", (F.col("low") == F.col("high")).alias("same"), "group_id", "n_copies")
-    return told.filter("same").select("fingerprint", "group_id", "n_copies"), told.filter("NOT same").select("fingerprint"), canon
+def _printed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    canon = docs.select(docs[id_col].alias("doc_id"), canonical(F.coalesce(docs[text_col], F.lit(""))).alias("canon"))
+    return canon.select("doc_id", "canon", hashed(F.col("canon")).alias("fingerprint"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint, group_id, n_copies of every document; documents of one group have the same canonical text."""
-    same, different, canon = buckets(docs, id_col, text_col)
-    ids = canon.select("doc_id", "fingerprint")
-    usual = ids.join(same, "fingerprint").select("doc_id", "fingerprint", "group_id", "n_copies")
-    clash = canon.join(different, "fingerprint")
+    """doc_id, fingerprint, group_id, n_copies of every document; documents of one group have the same canonical text.
+
+    Only the texts of buckets of two documents or more are compared. Those buckets' fingerprints are
+    broadcast up to BROADCAST_ROWS of them, and joined by shuffle beyond.
+    """
+    printed = _printed(docs, id_col, text_col)
+    prints = written(printed.select("doc_id", "fingerprint"), "fingerprints")
+    buckets = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_copies")), "fingerprint-buckets")
+    shared = buckets.filter("n_copies > 1").select("fingerprint")
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
+    texts = printed.join(shared, "fingerprint").groupBy("fingerprint").agg(F.min("canon").alias("low"), F.max("canon").alias("high"))
+    clashing = written(texts.filter("low <> high").select("fingerprint"), "fingerprint-clashes")
+    usual = prints.join(buckets.join(clashing, "fingerprint", "left_anti"), "fingerprint").select("doc_id", "fingerprint", "group_id", "n_copies")
+    if clashing.isEmpty():
+        return usual
+    clash = printed.join(clashing, "fingerprint")
     apart = clash.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_copies"))
     return usual.union(clash.join(apart, ["fingerprint", "canon"]).select("doc_id", "fingerprint", "group_id", "n_copies"))
 
