@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
@@ -27,6 +28,7 @@ from . import wordblocks as wb
 
 @functools.lru_cache(4)
 def tokenizer(vocabulary: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_str(vocabulary)

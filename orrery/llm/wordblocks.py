@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 BLOCK_BYTES = 16 << 20
-BUCKETS = 4096
+BUCKETS = 1024
 
 PAYLOAD = T.StructType([T.StructField("block", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("payload", T.BinaryType())])
 WORDS = T.StructType([T.StructField("block", T.LongType()), T.StructField("idx", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("marked", T.LongType())])
