@@ -72,7 +72,7 @@ def word_ids(packs: DataFrame, vocabulary: str) -> DataFrame:
     """block, pack: the ids of each distinct word, for each block that holds it."""
     shared = packs.sparkSession.sparkContext.broadcast(vocabulary)
     dealt = packs.repartition("bucket").sortWithinPartitions("bucket", "block")
-    return dealt.mapInArrow(lambda b: _encode(shared.value, b), "block long, pack binary")
+    return dealt.mapInArrow(lambda b: wb.lean(_encode(shared.value, b)), "block long, pack binary")
 
 
 def _restored(rows: pa.Table) -> pa.Table:

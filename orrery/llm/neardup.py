@@ -181,12 +181,12 @@ def _verified(batches: Iterator[pa.RecordBatch], width: int, threshold: float) -
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document; links are sets with 100 * common >= 100 * threshold * union."""
     chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    signed = written(chosen.mapInArrow(lambda b: _signed(b, width), "doc_id long, n_shingles long, class binary, bands array<long>"), "dedup-sets")
+    signed = written(chosen.mapInArrow(lambda b: wb.lean(_signed(b, width)), "doc_id long, n_shingles long, class binary, bands array<long>"), "dedup-sets")
     filled = signed.filter("class IS NOT NULL")
     classes = filled.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"))
     keys = filled.groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     dealt = keys.select(F.explode("bands").alias("key"), "n", "class").repartition("key").sortWithinPartitions("key", "n", "class")
-    star = written(dealt.mapInArrow(lambda b: _stars(b, threshold), "a binary, b binary").distinct(), "dedup-stars")
+    star = written(dealt.mapInArrow(lambda b: wb.lean(_stars(b, threshold)), "a binary, b binary").distinct(), "dedup-stars")
     groups = components(star).toDF("class", "group")
     blocks = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
     members = groups.join(blocks, "group").join(classes, "class").withColumn("block", F.pmod(F.hash("class"), F.col("n_blocks")))
@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
     every = F.sequence(F.lit(0), F.col("n_blocks") - 1)
     spread = texts.withColumn("other", F.explode(every)).select("class", "group", "block", "text", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     ordered = spread.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "class")
-    edges = ordered.mapInArrow(lambda b: _verified(b, width, threshold), "a binary, b binary")
+    edges = ordered.mapInArrow(lambda b: wb.lean(_verified(b, width, threshold)), "a binary, b binary")
     joined = components(edges).toDF("class", "label").join(classes.select("class", "rep"), "class")
     least = joined.groupBy("label").agg(F.min("rep").alias("component_id"))
     linked_to = joined.join(least, "label").select("class", "component_id")

@@ -16,6 +16,7 @@ not once per occurrence, and the most frequent word has as many rows as there ar
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import zlib
 from collections import defaultdict
@@ -36,6 +37,21 @@ WORDS = T.StructType([T.StructField("block", T.LongType()), T.StructField("idx",
 BOTH = T.StructType([*WORDS.fields, T.StructField("n_words", T.LongType()), T.StructField("payload", T.BinaryType())])
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Python workers are used again by later stages, which would find it taken."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def lean(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows as they come, then release()."""
+    try:
+        yield from rows
+    finally:
+        release()
+
+
 def numbered(texts: list[bytes | None], index: defaultdict, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Word counts of the texts, and the numbers of all their words; new words get the next number. lower: A-Z first."""
     lens, parts = np.zeros(len(texts), np.int64), []
@@ -125,12 +141,12 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_packs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """bucket, block, pack: the block's distinct words of one of BUCKETS hash buckets, with their numbers, in one row."""
     chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return chosen.mapInArrow(_packs, "bucket int, block long, pack binary")
+    return chosen.mapInArrow(lambda b: lean(_packs(b)), "bucket int, block long, pack binary")
 
 
 def _rows(docs: DataFrame, want: str, mark: Column | None, id_col: str, text_col: str, lower: bool = False) -> DataFrame:
     chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), (F.lit(False) if mark is None else mark).alias("mark"))
-    return chosen.mapInArrow(lambda b: _block_rows(b, want, lower), {"payload": PAYLOAD, "words": WORDS, "both": BOTH}[want])
+    return chosen.mapInArrow(lambda b: lean(_block_rows(b, want, lower)), {"payload": PAYLOAD, "words": WORDS, "both": BOTH}[want])
 
 
 def payloads(docs: DataFrame, mark: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,6 +182,7 @@ def rejoined(payload: DataFrame, words: DataFrame, per_block: Callable, schema:
             if right.num_rows != n or (n and right.column("idx")[-1].as_py() != n - 1):
                 raise RuntimeError(f"a block has {n} words, and {right.num_rows} came back: its documents were read in another order")
             out.append(per_block(unpack(data), right))
+        release()
         return pa.concat_tables(out)
 
     own = payload.select(F.col("block").alias("own_block"), "n_words", "payload")
