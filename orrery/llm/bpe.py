@@ -94,18 +94,16 @@ def _split_ids(rows: pa.Table) -> tuple[np.ndarray, list[int], np.ndarray]:
 def _digests(vocabulary: str, docs: dict, rows: pa.Table) -> pa.Table:
     table = pieces(vocabulary)
     flat, ids, counts = _split_ids(rows)
-    bounds = [0, *np.cumsum(counts).tolist()]
-    number, piece = [str(i).encode() for i in range(len(table))], [p.encode() for p in table]
-    id_text = [b" ".join(map(number.__getitem__, ids[a:b])) for a, b in zip(bounds, bounds[1:], strict=False)]
-    piece_text = [b" ".join(map(piece.__getitem__, ids[a:b])) for a, b in zip(bounds, bounds[1:], strict=False)]
-    ends, out = np.cumsum(docs["lens"]), {"n": [], "a": [], "b": []}
-    for end, n in zip(ends.tolist(), docs["lens"].tolist(), strict=True):
-        own = docs["idx"][end - n : end]
-        per_word = counts[own]
-        own = own[per_word > 0].tolist()
+    bounds, own, out = [0, *np.cumsum(counts).tolist()], [], {"n": [], "a": [], "b": []}
+    for end, n in zip(np.cumsum(docs["lens"]).tolist(), docs["lens"].tolist(), strict=True):
+        words = docs["idx"][end - n : end]
+        per_word = counts[words]
+        own.append(words[per_word > 0].astype(np.int32))
         out["n"].append(int(per_word.sum()))
-        out["a"].append(hashlib.sha256(b" ".join(map(id_text.__getitem__, own))).hexdigest())
-        out["b"].append(hashlib.sha256(b" ".join(map(piece_text.__getitem__, own))).hexdigest())
+    for key, names in (("a", [str(i).encode() for i in range(len(table))]), ("b", [p.encode() for p in table])):  # one after the other, for memory
+        text = [b" ".join(map(names.__getitem__, ids[a:b])) for a, b in zip(bounds, bounds[1:], strict=False)]
+        out[key] = [hashlib.sha256(b" ".join(map(text.__getitem__, words.tolist()))).hexdigest() for words in own]
+        del text
     return pa.table({"doc_id": pa.array(docs["ids"], pa.int64()), "n_tokens": pa.array(out["n"], pa.int64()), "ids_sha256": pa.array(out["a"], pa.string()), "decoded_sha256": pa.array(out["b"], pa.string())})
 
 
