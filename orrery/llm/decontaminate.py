@@ -181,7 +181,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, i
         listed = [(t, by_text[t]) for t in sorted(by_text)]
         index = Index([(i, t) for i, (t, _) in enumerate(listed)])
         shared = spark.sparkContext.broadcast(index)
-        counts = texts.select("text").mapInArrow(lambda b, x=shared: wb.lean(_counted(x.value, b)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+        counts = wb.small_batches(texts.select("text")).mapInArrow(lambda b, x=shared: wb.lean(_counted(x.value, b)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
         rare = spark.sparkContext.broadcast(seeds(index, {r.gram: r.n for r in counts}))
         passages = texts.mapInArrow(lambda b, x=shared, y=rare: wb.lean(_passages(x.value, y.value, min_score, b)), "doc_id long, item int, begin long, passage string")
         known = spark.createDataFrame([(i, item, t) for i, (t, ids) in enumerate(listed) for item in ids] or [(-1, -1, "")], "item int, item_id long, item_text string")

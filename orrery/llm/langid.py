@@ -186,4 +186,4 @@ def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2, id_col: str
     out = held_out(F.col("doc_id"), modulus, remainder)
     model = docs.sparkSession.sparkContext.broadcast(train(references(docs, out, id_col, text_col, lang_col)))
     rows = docs.select(docs[id_col].alias("doc_id"), held_out(docs[id_col], modulus, remainder).alias("held_out"), docs[text_col].alias("text"))
-    return rows.mapInArrow(lambda b: wb.lean(_predicted(model.value, b)), PREDICTED)
+    return wb.small_batches(rows).mapInArrow(lambda b: wb.lean(_predicted(model.value, b)), PREDICTED)

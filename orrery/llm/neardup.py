@@ -181,7 +181,7 @@ def _verified(batches: Iterator[pa.RecordBatch], width: int, threshold: float) -
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document; links are sets with 100 * common >= 100 * threshold * union."""
     chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    signed = written(chosen.mapInArrow(lambda b: wb.lean(_signed(b, width)), "doc_id long, n_shingles long, class binary, bands array<long>"), "dedup-sets")
+    signed = written(wb.small_batches(chosen).mapInArrow(lambda b: wb.lean(_signed(b, width)), "doc_id long, n_shingles long, class binary, bands array<long>"), "dedup-sets")
     filled = signed.filter("class IS NOT NULL")
     classes = filled.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"))
     keys = filled.groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))

@@ -159,4 +159,4 @@ def counts(docs: DataFrame, vocabulary: str, edits=None, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     none = F.lit(None).cast("array<struct<start:long,end:long,replacement:string>>")
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), (none if edits is None else edits.cast("array<struct<start:long,end:long,replacement:string>>")).alias("edits"))
-    return rows.mapInArrow(lambda b: _counted(shared.value, b), COUNTED)
+    return wb.small_batches(rows).mapInArrow(lambda b: _counted(shared.value, b), COUNTED)

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 BLOCK_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 BUCKETS = 1024
 
 PAYLOAD = T.StructType([T.StructField("block", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("payload", T.BinaryType())])
@@ -52,6 +53,18 @@ def lean(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
 
 
+def small_batches(rows: DataFrame) -> DataFrame:
+    """rows, whose session sends BATCH_BYTES at a time to Python from now on, unless it has a setting of its own.
+
+    Spark's default of 64 MB is held several times over: in the JVM's Arrow buffers, which grow by
+    doubling outside its heap, and in the worker, for each task of an executor.
+    """
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", rows.sparkSession.conf
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH_BYTES))
+    return rows
+
+
 def numbered(texts: list[bytes | None], index: defaultdict, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Word counts of the texts, and the numbers of all their words; new words get the next number. lower: A-Z first."""
     lens, parts = np.zeros(len(texts), np.int64), []
@@ -141,12 +154,12 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_packs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """bucket, block, pack: the block's distinct words of one of BUCKETS hash buckets, with their numbers, in one row."""
     chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return chosen.mapInArrow(lambda b: lean(_packs(b)), "bucket int, block long, pack binary")
+    return small_batches(chosen).mapInArrow(lambda b: lean(_packs(b)), "bucket int, block long, pack binary")
 
 
 def _rows(docs: DataFrame, want: str, mark: Column | None, id_col: str, text_col: str, lower: bool = False) -> DataFrame:
     chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), (F.lit(False) if mark is None else mark).alias("mark"))
-    return chosen.mapInArrow(lambda b: lean(_block_rows(b, want, lower)), {"payload": PAYLOAD, "words": WORDS, "both": BOTH}[want])
+    return small_batches(chosen).mapInArrow(lambda b: lean(_block_rows(b, want, lower)), {"payload": PAYLOAD, "words": WORDS, "both": BOTH}[want])
 
 
 def payloads(docs: DataFrame, mark: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
