@@ -34,8 +34,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, and the digests of the ids and of the text decoded from them."""
-    return bpe.digests(docs, bpe.vocabulary_of("word_bpe_49k.json"))
+    """doc_id, n_tokens, and the digests of the ids and of the text decoded from them.
+
+    Blocks are half the usual size: the executors' heaps have grown in the stages before and leave less to Python.
+    """
+    return bpe.digests(docs, bpe.vocabulary_of("word_bpe_49k.json"), block_bytes=8 << 20)
 
 
 STAGES = [("language ID", language_id), ("MinHash near-dedup", near_duplicates), ("benchmark decontamination", decontamination), ("BPE encoding and decoding", encoded)]

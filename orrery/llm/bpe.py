@@ -48,6 +48,7 @@ def pieces_table(spark, vocabulary: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(pieces(vocabulary))), "id int, piece string")
 
 
+STEP = 20_000  # words that are turned into text at a time
 KNOWN = 2_000_000  # words of a bucket that are kept; a bucket of more encodes some of them again
 
 
@@ -84,31 +85,44 @@ def _restored(rows: pa.Table) -> pa.Table:
     return pa.table({"idx": pa.array(idx), "ids": column}).take(pa.array(np.argsort(idx)))
 
 
-def _split_ids(rows: pa.Table) -> tuple[np.ndarray, list[int], np.ndarray]:
+def _split_ids(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     column = rows.column("ids")
     counts = np.asarray(pa.compute.binary_length(column).to_numpy(), np.int64) // 4
     flat = np.frombuffer(b"".join(column.to_pylist()), "<u4")
-    return flat, flat.tolist(), counts
+    return flat, counts
+
+
+def _sha256(words: np.ndarray, text: list[bytes]) -> str:
+    """Of the words' texts, joined by a space."""
+    found = hashlib.sha256()
+    for at in range(0, len(words), STEP):
+        found.update((b" " if at else b"") + b" ".join(map(text.__getitem__, words[at : at + STEP].tolist())))
+    return found.hexdigest()
 
 
 def _digests(vocabulary: str, docs: dict, rows: pa.Table) -> pa.Table:
     table = pieces(vocabulary)
-    flat, ids, counts = _split_ids(rows)
-    bounds, own, out = [0, *np.cumsum(counts).tolist()], [], {"n": [], "a": [], "b": []}
+    flat, counts = _split_ids(rows)
+    bounds, idx, own, out = np.r_[0, np.cumsum(counts)], docs.pop("idx").astype(np.int32), [], {"n": [], "a": [], "b": []}
     for end, n in zip(np.cumsum(docs["lens"]).tolist(), docs["lens"].tolist(), strict=True):
-        words = docs["idx"][end - n : end]
+        words = idx[end - n : end]
         per_word = counts[words]
-        own.append(words[per_word > 0].astype(np.int32))
+        own.append(words[per_word > 0])
         out["n"].append(int(per_word.sum()))
+    del idx
     for key, names in (("a", [str(i).encode() for i in range(len(table))]), ("b", [p.encode() for p in table])):  # one after the other, for memory
-        text = [b" ".join(map(names.__getitem__, ids[a:b])) for a, b in zip(bounds, bounds[1:], strict=False)]
-        out[key] = [hashlib.sha256(b" ".join(map(text.__getitem__, words.tolist()))).hexdigest() for words in own]
+        text = []
+        for at in range(0, len(counts), STEP):
+            cuts = bounds[at : at + STEP + 1]
+            ids, cuts = flat[cuts[0] : cuts[-1]].tolist(), (cuts - cuts[0]).tolist()
+            text += [b" ".join(map(names.__getitem__, ids[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+        out[key] = [_sha256(words, text) for words in own]
         del text
     return pa.table({"doc_id": pa.array(docs["ids"], pa.int64()), "n_tokens": pa.array(out["n"], pa.int64()), "ids_sha256": pa.array(out["a"], pa.string()), "decoded_sha256": pa.array(out["b"], pa.string())})
 
 
 def _ids(docs: dict, rows: pa.Table) -> pa.Table:
-    flat, _, counts = _split_ids(rows)
+    flat, counts = _split_ids(rows)
     starts, ends = np.cumsum(counts) - counts, np.cumsum(docs["lens"])
     lists = []
     for end, n in zip(ends.tolist(), docs["lens"].tolist(), strict=True):
@@ -117,9 +131,9 @@ def _ids(docs: dict, rows: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(docs["ids"], pa.int64()), "n_tokens": pa.array([len(x) for x in lists], pa.int64()), "ids": pa.array(lists, pa.list_(pa.int32()))})
 
 
-def _joined(docs: DataFrame, vocabulary: str, per_block, schema, id_col: str, text_col: str) -> DataFrame:
-    ids = word_ids(wb.word_packs(docs, id_col, text_col), vocabulary)
-    return wb.rejoined(wb.payloads(docs, id_col=id_col, text_col=text_col), ids, per_block, schema, _restored)
+def _joined(docs: DataFrame, vocabulary: str, per_block, schema, id_col: str, text_col: str, block_bytes: int = wb.BLOCK_BYTES) -> DataFrame:
+    ids = word_ids(wb.word_packs(docs, id_col, text_col, block_bytes), vocabulary)
+    return wb.rejoined(wb.payloads(docs, id_col=id_col, text_col=text_col, block_bytes=block_bytes), ids, per_block, schema, _restored)
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,11 +153,14 @@ def decode(encoded: DataFrame, vocabulary: str, key: str = "doc_id", ids: str =
     return found.groupBy("key").agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), " ").alias("decoded")).withColumnRenamed("key", key)
 
 
-def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256 (the decoded text), without writing out ids or texts."""
+def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = wb.BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (decimal ids joined by a space), decoded_sha256 (the decoded text), without writing out ids or texts.
+
+    block_bytes: text of a block; smaller blocks need less of a worker's memory and more shuffle. The result is the same.
+    """
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    return _joined(docs, vocabulary, lambda d, w: _digests(shared.value, d, w), schema, id_col, text_col)
+    return _joined(docs, vocabulary, lambda d, w: _digests(shared.value, d, w), schema, id_col, text_col, block_bytes)
 
 
 def vocabulary_of(name_or_path: str = "word_bpe_49k.json") -> str:

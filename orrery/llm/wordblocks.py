@@ -1,7 +1,7 @@
 """Blocks of whole documents with a table of their distinct words.
 
-A block is a run of neighbouring documents of one input partition, of BLOCK_BYTES of text or one
-longer document. Each of its distinct words (maximal runs of bytes other than ASCII white space) has
+A block is a run of neighbouring documents of one input partition, of BLOCK_BYTES of text (or what the
+caller names: smaller blocks need less memory and repeat more words) or one longer document. Each of its distinct words (maximal runs of bytes other than ASCII white space) has
 a number, in order of first appearance. Two tables describe the blocks:
 
 - payload: one row per block, with the documents' ids, word counts and the numbers of their words
@@ -20,8 +20,8 @@ import ctypes
 import pickle
 import zlib
 from collections import defaultdict
-from collections.abc import Callable, Iterator
-from itertools import count
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -65,14 +65,20 @@ def small_batches(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def numbered(texts: list[bytes | None], index: defaultdict, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def each(column: pa.ChunkedArray) -> Iterator[bytes | None]:
+    """The texts of a column as bytes, made one chunk after the other."""
+    return chain.from_iterable(chunk.cast(pa.binary()).to_pylist() for chunk in column.chunks)
+
+
+def numbered(texts: Iterable[bytes | None], index: defaultdict, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Word counts of the texts, and the numbers of all their words; new words get the next number. lower: A-Z first."""
-    lens, parts = np.zeros(len(texts), np.int64), []
-    for k, text in enumerate(texts):
-        if text and (words := (text.lower() if lower else text).split()):
-            lens[k] = len(words)
+    lens, parts = [], []
+    for text in texts:
+        words = (text.lower() if lower else text).split() if text else []
+        lens.append(len(words))
+        if words:
             parts.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
-    return lens, np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    return np.array(lens, np.int64), np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
 
 def new_index() -> defaultdict:
@@ -110,13 +116,13 @@ def runs(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def _block_rows(batches: Iterator[pa.RecordBatch], want: str, lower: bool) -> Iterator[pa.RecordBatch]:
+def _block_rows(batches: Iterator[pa.RecordBatch], want: str, lower: bool, block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     task = (TaskContext.get().partitionId() + 1) << 24
-    for seq, table in enumerate(runs(batches)):
+    for seq, table in enumerate(runs(batches, block_bytes)):
         index, block = new_index(), task + seq
-        lens, idx = numbered(table.column("text").cast(pa.binary()).to_pylist(), index, lower)
+        lens, idx = numbered(each(table.column("text")), index, lower)
         n = len(index)
         marks = np.asarray(table.column("mark").fill_null(False).to_numpy(), bool)
         if want != "payload":
@@ -128,6 +134,7 @@ def _block_rows(batches: Iterator[pa.RecordBatch], want: str, lower: bool) -> It
                 if want == "both":
                     rows |= {"n_words": pa.nulls(m, pa.int64()), "payload": pa.nulls(m, pa.binary())}
                 yield pa.RecordBatch.from_pydict(rows)
+        del index
         if want != "words":
             data = pack({"ids": table.column("doc_id").to_pylist(), "marks": marks.tobytes(), "lens": lens, "idx": idx})
             rows = {"block": pa.array([block]), "n_words": pa.array([n]), "payload": pa.array([data], pa.binary())}
@@ -136,13 +143,13 @@ def _block_rows(batches: Iterator[pa.RecordBatch], want: str, lower: bool) -> It
             yield pa.RecordBatch.from_pydict(rows)
 
 
-def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packs(batches: Iterator[pa.RecordBatch], block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     task = (TaskContext.get().partitionId() + 1) << 24
-    for seq, table in enumerate(runs(batches)):
+    for seq, table in enumerate(runs(batches, block_bytes)):
         index = new_index()
-        numbered(table.column("text").cast(pa.binary()).to_pylist(), index)
+        numbered(each(table.column("text")), index)
         words = list(index)
         bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % BUCKETS
         order = np.argsort(bucket, kind="stable")
@@ -151,20 +158,20 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[order][begins] if len(words) else [], pa.int32()), "block": pa.array(np.full(len(packs), task + seq)), "pack": pa.array(packs, pa.binary())})
 
 
-def word_packs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def word_packs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """bucket, block, pack: the block's distinct words of one of BUCKETS hash buckets, with their numbers, in one row."""
     chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return small_batches(chosen).mapInArrow(lambda b: lean(_packs(b)), "bucket int, block long, pack binary")
+    return small_batches(chosen).mapInArrow(lambda b: lean(_packs(b, block_bytes)), "bucket int, block long, pack binary")
 
 
-def _rows(docs: DataFrame, want: str, mark: Column | None, id_col: str, text_col: str, lower: bool = False) -> DataFrame:
+def _rows(docs: DataFrame, want: str, mark: Column | None, id_col: str, text_col: str, lower: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), (F.lit(False) if mark is None else mark).alias("mark"))
-    return small_batches(chosen).mapInArrow(lambda b: lean(_block_rows(b, want, lower)), {"payload": PAYLOAD, "words": WORDS, "both": BOTH}[want])
+    return small_batches(chosen).mapInArrow(lambda b: lean(_block_rows(b, want, lower, block_bytes)), {"payload": PAYLOAD, "words": WORDS, "both": BOTH}[want])
 
 
-def payloads(docs: DataFrame, mark: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def payloads(docs: DataFrame, mark: Column | None = None, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """block, n_words, payload. Reading docs again gives the same blocks as long as its partitions are those of files or of a written table."""
-    return _rows(docs, "payload", mark, id_col, text_col)
+    return _rows(docs, "payload", mark, id_col, text_col, block_bytes=block_bytes)
 
 
 def block_words(docs: DataFrame, mark: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
