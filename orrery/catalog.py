@@ -201,6 +201,16 @@ def _(s, d):
     return categories.support(spark_view(s, d, "page_category"))
 
 
+@query("C4_visible_categories", CAT + " SELECT p.* FROM page_category p ANTI JOIN (SELECT language, category FROM category_parent WHERE category LIKE 'size %') h ON h.language = p.language AND h.category = p.category")
+def _(s, d):
+    return categories.visible(spark_view(s, d, "page_category"), spark_view(s, d, "category_parent").filter("category LIKE 'size %'"))
+
+
+@query("E23_label_text", CAT + " SELECT language, page_id, string_agg(DISTINCT category, ' · ' ORDER BY category) AS labels FROM page_category GROUP BY language, page_id")
+def _(s, d):
+    return categories.label_text(spark_view(s, d, "page_category"))
+
+
 @query("I5_ancestors", CAT + " SELECT DISTINCT language, category, ancestor FROM reach")
 def closure(s, d):
     return categories.ancestors(spark_view(s, d, "category_parent"))
@@ -248,6 +258,11 @@ def _(s, d):
     return history.streaks(spark_view(s, d, "creation"), spark_view(s, d, "edit"), history.day_index, 2)
 
 
+@query("G11_recent_edits", HIST + " SELECT * FROM edit ORDER BY us DESC, event_id LIMIT 100")
+def _(s, d):
+    return history.recent(spark_view(s, d, "edit"))
+
+
 @query("E6_periods", HIST + ", active AS (SELECT user_id, us // 21600000000 AS period, count(*) AS n FROM edit GROUP BY ALL HAVING count(*) >= 2), isle AS (SELECT *, period - row_number() OVER (PARTITION BY user_id ORDER BY period) AS g FROM active) SELECT user_id, period, row_number() OVER (PARTITION BY user_id, g ORDER BY period) AS streak FROM isle")
 def _(s, d):
     return history.periods(spark_view(s, d, "edit"), F.floor(F.col("us") / 21_600_000_000), 2)
@@ -449,6 +464,12 @@ def _(s, d):
     return rounded(reports.overview(observed(s, d)), "percent")
 
 
+@query("H_S1_overall", OBSERVED + """ SELECT 'all' AS language, count(*) AS total, count(*) FILTER (orphan) AS orphans, round(100.0 * count(*) FILTER (orphan) / count(*), 6) AS percent, count(*) FILTER (out_degree = 0) AS dead_ends,
+ count(*) FILTER (orphan AND creator_key IS NOT NULL) AS attributed_orphans, count(*) FILTER (creator_key IS NULL) AS missing_creators, count(DISTINCT language || ':' || creator_key) FILTER (orphan) AS orphan_creators FROM observed""")
+def _(s, d):
+    return rounded(reports.overall(observed(s, d)), "percent")
+
+
 @query("E11_category_counts", OBSERVED + ", " + duckdb_with("page_category").removeprefix("WITH RECURSIVE ") + " SELECT category AS label, count(*) AS total, count(*) FILTER (orphan) AS orphans, round(100.0 * count(*) FILTER (orphan) / count(*), 6) AS percent FROM page_category JOIN observed USING (language, page_id) GROUP BY category")
 def _(s, d):
     rows = spark_view(s, d, "page_category").join(observed(s, d).select("language", "page_id", "orphan"), ["language", "page_id"])

@@ -31,6 +31,17 @@ def candidates(page_category: DataFrame, patterns: tuple[str, ...] = (), exclude
     return rows.filter(~F.col("category").isin(list(excluded))) if excluded else rows
 
 
+def visible(page_category: DataFrame, hidden: DataFrame) -> DataFrame:
+    """The rows whose category isn't hidden in its edition. hidden(language, category) may repeat rows; null categories stay."""
+    return page_category.join(hidden, ["language", "category"], "left_anti")
+
+
+def label_text(page_category: DataFrame) -> DataFrame:
+    """language, page_id, labels: the page's distinct categories in binary order, joined by a middle dot; null ones are left out."""
+    labels = F.array_join(F.array_sort(F.collect_set("category")), " · ")
+    return page_category.groupBy("language", "page_id").agg(labels.alias("labels"))
+
+
 def ancestors(parent: DataFrame, max_depth: int = 64) -> DataFrame:
     """language, category, ancestor of the hierarchy, cycles included; breadth first, each pair once. The frontier joins the parents and leaves out what is seen."""
     spark = parent.sparkSession

@@ -57,6 +57,11 @@ def prior_edits(creations: DataFrame, edits: DataFrame) -> DataFrame:
     return both.select("page_id", "user_id", "us", count("main").alias("prior_main"), count("other").alias("prior_other"), articles.alias("prior_articles")).filter("page_id IS NOT NULL")
 
 
+def recent(edits: DataFrame, most: int = 100) -> DataFrame:
+    """The latest edits of all users, the newest first; ties by event_id. A top-k report, so each task keeps `most` rows."""
+    return edits.orderBy(F.desc_nulls_last("us"), F.asc("event_id")).limit(most)
+
+
 def periods(edits: DataFrame, period: Column, threshold: int = MONTH_THRESHOLD) -> DataFrame:
     """user_id, period, streak: the active periods (threshold edits or more) that end with this one."""
     active = edits.groupBy("user_id", period.alias("period")).agg(F.count("*").alias("n")).filter(F.col("n") >= threshold)

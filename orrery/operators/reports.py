@@ -21,6 +21,12 @@ def overview(rows: DataFrame) -> DataFrame:
     )
 
 
+def overall(rows: DataFrame) -> DataFrame:
+    """The overview of all editions as one; a creator's key counts once in each edition. rows as for overview()."""
+    scoped = F.concat_ws(":", "language", "creator_key")
+    return overview(rows.withColumns({"creator_key": F.when(F.col("creator_key").isNotNull(), scoped), "language": F.lit("all")}))
+
+
 def label_counts(rows: DataFrame, label: str) -> DataFrame:
     """label, total, orphans, percent; most orphans first, then by label."""
     n = F.count_if("orphan")
