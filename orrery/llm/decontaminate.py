@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
-1. Words are lower-case, without ASCII punctuation, split at ASCII white space. All n-grams of SEED
-   words of the items are counted in all documents.
-2. An item's seeds are its rarer n-grams: those of at most RARE times its lower quartile of counts,
-   plus RARE. The rule is relative, so an item that leaked a thousand times keeps its seeds.
+1. Words are lower-case, without ASCII punctuation, split at ASCII white space.
+2. All n-grams of SEED words of an item are its seeds, however often they occur: a limit on counts
+   would lose edited or partial passages that repeat. The filter of the next step is what drops
+   chance hits; its cost grows with the items that share an n-gram.
 3. Where seeds of an item lie close in a document, the passage around them joins the item if it holds
    enough of its words for the score that a leak needs (each matching word adds 2 at most), and a
    local alignment of the words (match 2, others -1) scores it: its value over that of the whole item.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import wordblocks as wb
 
-SEED, RARE, MIN_SCORE, BLOCK_CHARS = 3, 4, 0.5, 32 << 20
+SEED, MIN_SCORE, BLOCK_CHARS = 3, 0.5, 32 << 20
 _PUNCTUATION = string.punctuation.encode()
 
 
@@ -76,27 +76,6 @@ class Index:
         return at[found], near[found]
 
 
-def _counted(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(len(index.grams), np.int64)
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            _, grams = index.hits(index.numbers(words_of(text)))
-            if len(grams):
-                total += np.bincount(grams, minlength=len(total))
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"gram": pa.array(index.grams[some]), "n": pa.array(total[some])})
-
-
-def seeds(index: Index, counts: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-    """The rare n-grams of each item, with their items and places."""
-    limit = []
-    for ws in index.words:
-        own = [counts.get(k, 0) for k in index.keys(index.numbers(ws)).tolist()]
-        limit.append(RARE * float(np.quantile(own, 0.25)) + RARE if own else 0.0)
-    kept = {g: [(i, p) for i, p in places if counts.get(g, 0) <= limit[i]] for g, places in index.places.items()}
-    return {g: places for g, places in kept.items() if places}
-
-
 def spans(at: list[int], items: list[tuple[int, int]], sizes: list[int]) -> Iterator[tuple[int, int, int]]:
     """item, begin, end of the passages around close seeds of an item; at: places in the document, items: (item, place in it)."""
     by: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -114,17 +93,16 @@ def spans(at: list[int], items: list[tuple[int, int]], sizes: list[int]) -> Iter
         yield i, begin, end
 
 
-def _passages(index: Index, rare: dict, min_score: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sizes, wanted = [len(w) for w in index.words], np.array([g in rare for g in index.grams.tolist()], bool)
+def _passages(index: Index, min_score: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sizes = [len(w) for w in index.words]
     for batch in batches:
         out = {"doc_id": [], "item": [], "begin": [], "passage": []}
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             words = words_of(text)
             at, grams = index.hits(index.numbers(words))
-            use = wanted[grams]
-            if not use.any():
+            if not len(at):
                 continue
-            pairs = [(a, place) for a, k in zip(at[use].tolist(), index.grams[grams[use]].tolist(), strict=True) for place in rare[k]]
+            pairs = [(a, place) for a, k in zip(at.tolist(), index.grams[grams].tolist(), strict=True) for place in index.places[k]]
             for i, begin, end in spans([a for a, _ in pairs], [p for _, p in pairs], sizes):
                 if (Counter(words[begin:end]) & index.bags[i]).total() < min_score * sizes[i]:
                     continue
@@ -181,9 +159,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, i
         listed = [(t, by_text[t]) for t in sorted(by_text)]
         index = Index([(i, t) for i, (t, _) in enumerate(listed)])
         shared = spark.sparkContext.broadcast(index)
-        counts = wb.small_batches(texts.select("text")).mapInArrow(lambda b, x=shared: wb.lean(_counted(x.value, b)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-        rare = spark.sparkContext.broadcast(seeds(index, {r.gram: r.n for r in counts}))
-        passages = texts.mapInArrow(lambda b, x=shared, y=rare: wb.lean(_passages(x.value, y.value, min_score, b)), "doc_id long, item int, begin long, passage string")
+        passages = texts.mapInArrow(lambda b, x=shared: wb.lean(_passages(x.value, min_score, b)), "doc_id long, item int, begin long, passage string")
         known = spark.createDataFrame([(i, item, t) for i, (t, ids) in enumerate(listed) for item in ids] or [(-1, -1, "")], "item int, item_id long, item_text string")
         scored = passages.join(F.broadcast(known), "item").mapInArrow(lambda b: wb.lean(_aligned(b, min_score)), "doc_id long, item_id long, score double, end_word long")
         best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "end_word")).alias("m")).select("doc_id", "item_id", "m.score", "m.end_word")

@@ -134,6 +134,20 @@ def test_decontamination(spark, none):
     assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 5, 50, 1000])
+@pytest.mark.parametrize("kind", ["every tenth word", "first part"])
+def test_decontamination_of_repeated_edits(spark, kind, copies):
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(400)]
+    items = [list(rng.choice(words, n)) for n in (30, 40, 59)]
+    passages = [[f"new{k}" if k % 10 == 9 else w for k, w in enumerate(x)] if kind == "every tenth word" else x[: len(x) * 6 // 10] for x in items]
+    texts = [" ".join([*rng.choice(words[:60], 50), *p, *rng.choice(words[:60], 50)]) for p in passages]
+    docs = spark.createDataFrame([(3 * k + i, t) for k in range(copies) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(3 * k + i, i) for k in range(copies) for i in range(3)}
+
+
 def test_alignment():
     def plain(a, b):
         h, best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
