@@ -279,6 +279,19 @@ def test_licenses(docs, none, spark):
     assert license.scan(docs, F.col("source")).count() == len(ROWS) and license.scan(none, F.col("source")).count() == 0
 
 
+def test_licence_headers_and_files(spark):
+    gpl = "# This file is part of Foo.\n#\n# Foo is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n" + "some = code(here)\n" * 30
+    mit = "Copyright (c) 2021 Jane Doe. All rights reserved.\n\n" + "\n\n".join(license._MIT)
+    bsd = "Copyright (c) 2020, Foo Authors\nAll rights reserved.\n\n" + license._BSD[0].replace(": ", ":\n\n1. ") + "\n\n3. " + license._BSD[1] + "\n\n" + license._BSD[2]
+    want = {
+        "// SPDX-License-Identifier: MIT\nint main() {}": "MIT", "# SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0-or-later", "/* SPDX-License-Identifier: EUPL-1.2 OR MIT */": "EUPL-1.2 OR MIT",
+        "This file is part of Foo and is released under the MIT License by its authors.": "MIT", "Copyright (c) 2021 Jane Doe. All rights reserved.": "Proprietary", gpl: "GPL-3.0", mit: "MIT", bsd: "BSD-3-Clause",
+        "The committee met under the bridge and the file of the version was released.": None, "He has a driving licence for the free use of any car.": None, "Mit.": None,
+    }
+    files = spark.createDataFrame([(k, f"d{k}/x", t) for k, t in enumerate(want)], "doc_id long, file string, text string")
+    assert {r.doc_id: r.own_licence for r in license.scan(files, F.col("file")).collect()} == dict(enumerate(want.values()))
+
+
 def test_licence_cosine(spark):
     idf, unit, other = license.vectors(license.TEMPLATES)
     idf, text = dict(idf), "This file is licensed under the MIT License, all rights reserved"
