@@ -7,13 +7,17 @@
    isn't empty (optimal densification). ROWS neighbouring bins make a band's bucket. Two sets of
    similarity 0.8 miss each other in all bands with probability (1 - 0.8 ** ROWS) ** BANDS = 5e-6.
 3. Each bucket is sorted by set size and cut where the next set is over 1/threshold times as large,
-   for no link can cross there. Each piece gives a star from its first member: as many edges as
-   members, never all pairs. Components of these edges are candidate groups; all classes that share
-   a bucket are in one.
-4. Within a candidate group all links between different sets are decided on the full sets. A group
-   of over BLOCK classes is dealt out in pairs of blocks, so no task holds more than two blocks, and
-   a task gives a spanning forest of the links it finds, not the links.
-5. Components of those edges are the result.
+   for no link can cross there. The least class of a piece is the hub of a star: as many edges as
+   members, never all pairs. A group of near copies has the same least class in most of its bands,
+   so its stars are mostly one. Buckets are dealt by ranges, so a large one has many tasks.
+4. Each member is compared with its hub on the full sets; a task holds the hub's set, and a hub of
+   many members stands in many tasks. Components of the links that hold are settled.
+5. Stars whose members lie in several components may hold further links; those that share members
+   make a unit. Any link between components has an end outside the largest component of its unit:
+   such members are centres, of which a task holds CENTRES, and all members of the unit are compared
+   with them, as they go by. Where that sends more rows, the unit is first cut by shingles: two sets
+   that reach the threshold share one of their rarest, counted within the unit, that is one of the
+   first n - ceil(threshold * n) + 1 of a set of n. Either way decides every candidate.
 
 Defined results: null and white-space texts have an empty set and are linked with nothing. Null
 doc_ids take part, but never name a component; a component of null ids alone has the id null, and
@@ -33,9 +37,10 @@ from pyspark.sql import DataFrame, functions as F
 from . import wordblocks as wb
 from .components import components
 from .scratch import written
+from .skew import lookup
 
 BANDS, ROWS = 40, 6
-BLOCK = 1000
+CENTRES, CENTRE_SHINGLES, CHUNK = 64, 4_000_000, 1024
 _ATTEMPTS = 2000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -93,113 +98,176 @@ def _digest(values: np.ndarray) -> bytes | None:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    row = TaskContext.get().partitionId() << 40
     for table in wb.runs(batches, 8 << 20):
         sizes, digests, keys = [], [], []
-        for values in shingle_sets(table.column("text").cast(pa.binary()).to_pylist(), width):
+        for values in shingle_sets(list(wb.each(table.column("text"))), width):
             sizes.append(len(values))
             digests.append(_digest(values))
             keys.append(band_keys(values) if len(values) else None)
-        yield pa.RecordBatch.from_pydict({"doc_id": table.column("doc_id").combine_chunks(), "n_shingles": pa.array(sizes, pa.int64()), "class": pa.array(digests, pa.binary()), "bands": pa.array(keys, pa.list_(pa.int64()))})
+        yield pa.RecordBatch.from_pydict({
+            "row": pa.array(np.arange(row, row + len(sizes))), "doc_id": table.column("doc_id").combine_chunks(), "n_shingles": pa.array(sizes, pa.int64()),
+            "class": pa.array(digests, pa.binary()), "bands": pa.array(keys, pa.list_(pa.int64())), "text": table.column("text").combine_chunks(),
+        })
+        row += len(sizes)
+
+
+def _stars(batches: Iterator[pa.RecordBatch], threshold: float, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """a (the hub), b (a member), key of rows that come sorted by key and size.
 
+    key is null unless the piece may go on elsewhere: the first and last piece of a task, and pieces
+    of over `most` rows, which are given out in parts. Of those the hub is a member as well.
+    """
+    held, loose = [np.zeros(0, np.int64)] * 3, True
+
+    def out(key: np.ndarray, node: np.ndarray, begins: np.ndarray, first: bool, last: bool) -> pa.RecordBatch:
+        lens = np.diff(np.r_[begins, len(node)])
+        hub, open_ = np.minimum.reduceat(node, begins), np.zeros(len(begins), bool)
+        open_[0], open_[-1] = open_[0] | first, open_[-1] | last
+        hub, open_ = np.repeat(hub, lens), np.repeat(open_, lens)
+        keep = (hub != node) | open_
+        return pa.RecordBatch.from_pydict({"a": pa.array(hub[keep]), "b": pa.array(node[keep]), "key": pa.array(key[keep], mask=~open_[keep])})
 
-def _stars(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket and size. A row that starts a piece is the hub of those that follow."""
-    last_key = last_n = hub = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, n = (np.asarray(batch.column(k).to_numpy(), np.int64) for k in ("key", "n"))
-        nodes = batch.column("class")
-        new = np.r_[True, (key[1:] != key[:-1]) | (n[1:] * threshold > n[:-1] + 1e-9)]
-        new[0] = last_key is None or key[0] != last_key or n[0] * threshold > last_n + 1e-9
-        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        hubs = pa.array([hub], pa.binary()) if hub is not None else pa.array([None], pa.binary())
-        pool = pa.concat_arrays([hubs, nodes.cast(pa.binary())])
-        members = np.flatnonzero(~new)
-        if len(members):
-            yield pa.RecordBatch.from_pydict({"a": pool.take(pa.array(first[members] + 1)), "b": nodes.take(pa.array(members)).cast(pa.binary())})
-        last_key, last_n = key[-1], n[-1]
-        hub = nodes[int(first[-1])].as_py() if first[-1] >= 0 else hub
-
-
-def linked(sets: list[np.ndarray], threshold: float, left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links between the sets. left: marks one of two blocks, whose links among themselves are left to other calls."""
-    lens = np.array([len(s) for s in sets], np.int64)
-    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    starts, mark = np.cumsum(lens) - lens, np.zeros(flat.max() + 1, np.int64)
-    owner_end, open_, edges = starts + lens, np.ones(len(sets), bool), []
-    for seed in range(len(sets)):
-        if not open_[seed]:
-            continue
-        open_[seed], queue = False, [seed]
-        while queue and (rest := np.flatnonzero(open_)).size:
-            x = queue.pop()
-            if left is not None:
-                rest = rest[left[rest] != left[x]]
-            rest = rest[(np.minimum(lens[rest], lens[x]) >= threshold * np.maximum(lens[rest], lens[x]) - 1e-9)]
-            if not len(rest):
+        key, n, node = (np.r_[h, np.asarray(batch.column(k).to_numpy(), np.int64)] for h, k in zip(held, ("key", "n", "node"), strict=True))
+        begins = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (n[1:] * threshold > n[:-1] + 1e-9)])
+        end = begins[-1]
+        if end:
+            yield out(key[:end], node[:end], begins[:-1], loose, False)
+            loose = False
+        held = [x[end:] for x in (key, n, node)]
+        if len(held[0]) >= most:
+            yield out(held[0], held[2], np.zeros(1, np.int64), True, True)
+            held, loose = [np.zeros(0, np.int64)] * 3, True
+    if len(held[0]):
+        yield out(held[0], held[2], np.zeros(1, np.int64), True, True)
+
+
+def _checked(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (unit, block, chunk), and of each its centres first; every other row is compared with all of them."""
+    at, centres, sets = None, [], []
+    keys, owners, sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for table in wb.runs(batches, 8 << 20):
+        found = {"a": [], "b": []}
+        ends = zip(*(table.column(k).to_pylist() for k in ("unit", "block", "chunk", "centre", "node")), shingle_sets(list(wb.each(table.column("text"))), width), strict=True)
+        for unit, block, chunk, centre, node, values in ends:
+            if (unit, block, chunk) != at:
+                at, centres, sets, keys = (unit, block, chunk), [], [], None
+            if centre:
+                centres.append(node)
+                sets.append(values)
+                continue
+            if not sets:  # a block that no centre fell into
                 continue
-            mark[flat[starts[x] : owner_end[x]]] = 1
-            counts = lens[rest]
-            offsets = np.cumsum(counts) - counts
-            places = np.arange(counts.sum()) + np.repeat(starts[rest] - offsets, counts)
-            common = np.add.reduceat(mark[flat[places]], offsets)
-            mark[flat[starts[x] : owner_end[x]]] = 0
-            for y in rest[100 * common >= round(100 * threshold) * (lens[rest] + lens[x] - common)].tolist():
-                open_[y] = False
-                queue.append(y)
-                edges.append((x, y))
-    return edges
-
-
-def _verified(batches: Iterator[pa.RecordBatch], width: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group and pair of blocks; each such run fits in memory."""
-    key, held = None, {}
-
-    def out() -> Iterator[pa.RecordBatch]:
-        if len({node for node, _ in held}) < 2:
-            return
-        found = {}  # rows of one id may have other texts than the class's; its digest tells
-        for (node, _), side, values in zip(held, held.values(), shingle_sets([t for _, t in held], width), strict=True):
-            if _digest(values) == node:
-                found[node] = side, values
-        nodes, sides = list(found), np.array([side for side, _ in found.values()])
-        edges = linked([values for _, values in found.values()], threshold, sides if key[1] != key[2] else None) if len(nodes) > 1 else []
-        if edges:
-            yield pa.RecordBatch.from_pydict({"a": pa.array([nodes[x] for x, _ in edges], pa.binary()), "b": pa.array([nodes[y] for _, y in edges], pa.binary())})
+            if keys is None:
+                flat = np.concatenate(sets)
+                order = np.argsort(flat, kind="stable")
+                keys, owners, sizes = flat[order], np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order], np.array([len(x) for x in sets])
+            low, high = np.searchsorted(keys, values, "left"), np.searchsorted(keys, values, "right")
+            many = high - low
+            places = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            common = np.bincount(owners[places], minlength=len(sizes))
+            for k in np.flatnonzero(100 * common >= percent * (sizes + len(values) - common)).tolist():
+                if centres[k] != node:
+                    found["a"].append(centres[k])
+                    found["b"].append(node)
+        yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in found.items()})
 
-    for batch in batches:
-        rows = [batch.column(k).to_pylist() for k in ("group", "i", "j", "class", "block")]
-        for g, i, j, node, block, text in zip(*rows, batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            if (g, i, j) != key:
-                yield from out()
-                key, held = (g, i, j), {}
-            held[node, text] = block
-    yield from out()
+
+def _confirmed(units: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: the links between the centres and the members of a unit, on the full sets. units: unit, node, centre, n.
+
+    A task holds the sets of CENTRES centres at most, and of so many shingles in all; members go by.
+    A unit of more centres has several blocks of them, and one of many members several chunks.
+    """
+    per = units.groupBy("unit").agg(F.greatest(F.ceil(F.count_if("centre") / CENTRES), F.ceil(F.sum(F.when(F.col("centre"), F.col("n"))) / CENTRE_SHINGLES)).cast("int").alias("blocks"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    rows = lookup(units, written(per, "dedup-units"), "unit")
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    place = lambda c: F.pmod(F.hash("node"), F.col(c))
+    centres = rows.filter("centre").select("unit", place("blocks").alias("block"), upto("chunks").alias("chunk"), "node", "centre")
+    members = rows.select("unit", upto("blocks").alias("block"), place("chunks").alias("chunk"), "node", F.lit(False).alias("centre"))
+    dealt = centres.union(members).join(texts.withColumnRenamed("row", "node"), "node")
+    ordered = dealt.repartition("unit", "block", "chunk").sortWithinPartitions("unit", "block", "chunk", F.desc("centre"))
+    return wb.small_batches(ordered).mapInArrow(lambda r: wb.lean(_checked(r, width, percent)), "a long, b long").distinct()
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for table in wb.runs(batches, 8 << 20):
+        values = [v.view(np.int64) for v in shingle_sets(list(wb.each(table.column("text"))), width)]
+        yield pa.RecordBatch.from_pydict({"node": table.column("node").combine_chunks(), "shingles": pa.array(values, pa.list_(pa.int64()))})
+
+
+def _refined(open_: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """unit, of: a unit for each shingle that is among the rarest of two members of a unit (now: of) or more."""
+    nodes = open_.select("node").distinct().join(texts.withColumnRenamed("row", "node"), "node")
+    sets = written(wb.small_batches(nodes).mapInArrow(lambda rows: wb.lean(_sets(rows, width)), "node long, shingles array<long>"), "dedup-rest-sets")
+    each = open_.join(sets, "node").select(F.col("unit").alias("of"), "node", "label", "n", F.explode("shingles").alias("s"))
+    often = each.groupBy("of", "s").agg(F.count("*").alias("c")).filter("c > 1")
+    shared = each.join(often, ["of", "s"]).groupBy("of", "node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("own"))  # an array of one document's shingles
+    alone = F.col("n") - F.size("own")  # these are rarer, and shared with nobody
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - alone
+    rows = shared.filter(length > 0).select("of", "node", "label", "n", F.explode(F.slice("own", F.lit(1), length.cast("int"))).alias("x"))
+    return rows.select(F.xxhash64("of", "x.s").alias("unit"), "of", "node", "label", "n")
+
+
+def _undecided(rows: DataFrame) -> DataFrame:
+    """unit, top, cost: the label of most members in each unit of several labels, and the rows to be sent for the comparison of all others with its members."""
+    per = rows.groupBy("unit", "label").agg(F.count("*").alias("m"))
+    tops = per.groupBy("unit").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.max("m").alias("most"), F.sum("m").alias("m"))
+    return tops.filter("most < m").select("unit", "top", (F.col("m") * F.ceil((F.col("m") - F.col("most")) / CENTRES)).alias("cost"))
+
+
+def _rest(stars: DataFrame, links: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """node, label: the components of the links, and of those between members of the stars that are still to be found."""
+    labels = components(links)
+    named = written(stars.join(labels.withColumnRenamed("node", "b"), "b", "left").select("a", "b", F.coalesce("label", "b").alias("label")), "dedup-named")
+    own = stars.select("a").distinct().join(labels.select(F.col("node").alias("a"), F.col("label").alias("own")), "a", "left").withColumn("own", F.coalesce("own", "a"))
+    ends = named.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high")).join(own, "a")
+    hubs = written(ends.filter("low <> own OR high <> own").select("a"), "dedup-open")
+    if hubs.isEmpty():
+        return labels
+    groups = components(lookup(named, hubs, "a").select("a", "b")).toDF("node", "unit")
+    rows = groups.join(labels, "node", "left").join(classes.select("node", "n"), "node").select("unit", "node", F.coalesce("label", "node").alias("label"), "n")
+    rows = written(rows, "dedup-rest")
+    whole = written(_undecided(rows), "dedup-rest-groups")
+    fine = written(_refined(lookup(rows, whole, "unit").select("unit", "node", "label", "n"), texts, width, percent), "dedup-rest-shingles")
+    parts = written(_undecided(fine), "dedup-rest-units")
+    cost = fine.select("unit", "of").distinct().join(parts, "unit").groupBy("of").agg(F.sum("cost").alias("fine_cost")).withColumnRenamed("of", "unit")
+    best = whole.join(cost, "unit", "left").withColumn("fine_cost", F.coalesce("fine_cost", F.lit(0)))
+    whole_ones, fine_ones = best.filter("cost <= fine_cost").select("unit", "top"), best.filter("cost > fine_cost").select(F.col("unit").alias("of"))
+    chosen = lookup(rows, written(whole_ones, "dedup-rest-whole"), "unit").select("unit", "node", "n", (F.col("label") != F.col("top")).alias("centre"))
+    small = lookup(lookup(fine, written(fine_ones, "dedup-rest-fine"), "of"), parts, "unit")
+    chosen = written(chosen.union(small.select("unit", "node", "n", (F.col("label") != F.col("top")).alias("centre"))), "dedup-rest-chosen")
+    return components(links.union(_confirmed(chosen, texts, width, percent)))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document; links are sets with 100 * common >= 100 * threshold * union."""
+    percent, id_type = round(100 * threshold), docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    signed = written(wb.small_batches(chosen).mapInArrow(lambda b: wb.lean(_signed(b, width)), "doc_id long, n_shingles long, class binary, bands array<long>"), "dedup-sets")
-    filled = signed.filter("class IS NOT NULL")
-    classes = filled.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"))
-    keys = filled.groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    dealt = keys.select(F.explode("bands").alias("key"), "n", "class").repartition("key").sortWithinPartitions("key", "n", "class")
-    star = written(dealt.mapInArrow(lambda b: wb.lean(_stars(b, threshold)), "a binary, b binary").distinct(), "dedup-stars")
-    groups = components(star).toDF("class", "group")
-    blocks = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
-    members = groups.join(blocks, "group").join(classes, "class").withColumn("block", F.pmod(F.hash("class"), F.col("n_blocks")))
-    texts = members.join(chosen, members["rep"].eqNullSafe(chosen["doc_id"])).select("class", "group", "block", "n_blocks", "text")
-    every = F.sequence(F.lit(0), F.col("n_blocks") - 1)
-    spread = texts.withColumn("other", F.explode(every)).select("class", "group", "block", "text", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    ordered = spread.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "class")
-    edges = ordered.mapInArrow(lambda b: wb.lean(_verified(b, width, threshold)), "a binary, b binary")
-    joined = components(edges).toDF("class", "label").join(classes.select("class", "rep"), "class")
+    schema = f"row long, doc_id {id_type}, n_shingles long, class binary, bands array<long>, text string"
+    signed = written(wb.small_batches(chosen).mapInArrow(lambda b: wb.lean(_signed(b, width)), schema), "dedup-sets")
+    filled, texts = signed.filter("class IS NOT NULL"), signed.select("row", "text")
+    classes = written(filled.groupBy("class").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "dedup-classes")
+    dealt = classes.select(F.explode("bands").alias("key"), "n", "node").repartitionByRange("key", "n", "node").sortWithinPartitions("key", "n", "node")
+    pieces = written(dealt.mapInArrow(lambda b: wb.lean(_stars(b, threshold)), "a long, b long, key long"), "dedup-pieces")
+    # Pieces at the ends of tasks get the least hub of their key: two keys a task at most, and one for a million rows.
+    whole = F.broadcast(pieces.filter("key IS NOT NULL").groupBy("key").agg(F.min("a").alias("least")))
+    stars = pieces.join(whole, "key", "left").select(F.coalesce("least", "a").alias("a"), "b").filter("a <> b").distinct()
+    stars = written(stars, "dedup-stars")
+    of_hub = stars.select(F.col("a").alias("unit"), F.col("b").alias("node"), F.lit(False).alias("centre")).union(stars.select("a", "a", F.lit(True)).distinct())
+    units = written(of_hub.join(classes.select("node", "n"), "node").select("unit", "node", "centre", "n"), "dedup-star-units")
+    links = written(_confirmed(units, texts, width, percent), "dedup-links")
+    labels = _rest(stars, links, classes, texts, width, percent)
+    joined = written(labels.join(classes.select("node", "rep"), "node"), "dedup-labels")
     least = joined.groupBy("label").agg(F.min("rep").alias("component_id"))
-    linked_to = joined.join(least, "label").select("class", "component_id")
-    named = classes.join(linked_to, "class", "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))
-    with_set = filled.select("doc_id", "n_shingles", "class").join(named, "class").select("doc_id", "n_shingles", "component_id")
+    linked_to = lookup(joined, least, "label").select("node", "component_id")
+    named = classes.select("class", "node", "rep").join(linked_to, "node", "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))
+    with_set = lookup(filled.select("doc_id", "n_shingles", "class"), named, "class").select("doc_id", "n_shingles", "component_id")
     without = signed.filter("class IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     kept = F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     return with_set.union(without).withColumn("kept", kept)

@@ -9,6 +9,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -251,18 +252,30 @@ def test_near_duplicates(docs, none, spark, width):
     assert neardup.near_duplicates(none, width).count() == 0
 
 
-def test_near_duplicates_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 20)
+@pytest.mark.parametrize("centres", [1, 5])
+def test_near_duplicates_round_corners(spark, monkeypatch, centres):
+    """Sets that share most of a template without being links, next to chains of links, in small chunks."""
+    monkeypatch.setattr(neardup, "CHUNK", 4)
+    monkeypatch.setattr(neardup, "CENTRES", centres)
     rng = np.random.default_rng(9)
-    base = rng.integers(0, 500, 100).tolist()
-    rows = []
-    for k in range(120):
+    base, rows = rng.integers(0, 500, 100).tolist(), []
+    for k in range(160):
         words = list(base)
-        for p in rng.integers(0, 100, rng.integers(0, 8)):
+        for p in rng.integers(0, 100, rng.integers(0, 8 if k % 2 else 14)):
             words[p] = int(rng.integers(500, 900))
-        rows.append((k, " ".join(map(str, words))))
+        rows.append((None if k % 37 == 5 else k, " ".join(map(str, words))))
     got = collections.Counter(map(tuple, neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()))
     assert got == brute_components(rows, 2)
+    assert len({c for _, _, c, _ in got}) > 20
+
+
+def test_stars_over_tasks():
+    """Pieces that go on in the next task, or are given out in parts, keep their key."""
+    rows = [(1, 10, 5), (1, 10, 3), (1, 11, 9), (1, 20, 4), (2, 5, 8), (2, 5, 7), (2, 6, 1), (3, 5, 2), (4, 5, 6), (4, 5, 11)]
+    batches = [pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in part], pa.int64()) for i, k in enumerate(("key", "n", "node"))}) for part in (rows[:2], rows[2:6], rows[6:])]
+    flat = lambda most: [tuple(r.values()) for b in neardup._stars(iter(batches), 0.8, most) for r in b.to_pylist()]
+    assert flat(100) == [(3, 5, 1), (3, 3, 1), (3, 9, 1), (1, 8, None), (1, 7, None), (6, 6, 4), (6, 11, 4)]
+    assert {(a, b) for a, b, key in flat(2) if key} >= {(3, 5), (3, 3), (9, 9), (7, 8), (7, 7), (1, 1)}
 
 
 def test_components(spark):
