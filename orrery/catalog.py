@@ -48,10 +48,10 @@ def degree(s, d, edge=None):
     return graph.degrees(census(s, d), edges(s, d) if edge is None else edge)
 
 
-def observed(s, d):
+def observed(s, d, edge=None):
     """The pages with what the reports need; every column's values follow from the page's id."""
     k = F.col("page_id")
-    rows = census(s, d).join(degree(s, d), ["language", "page_id"])
+    rows = census(s, d).join(degree(s, d, edge), ["language", "page_id"])
     label = F.element_at(F.array(*map(F.lit, TOPICS)), (F.floor(k / 4) % 4 + 1).cast("int"))
     return rows.select(
         "language", "page_id", "title", "item", "length_bytes", "in_degree", "out_degree", (F.col("in_degree") == 0).alias("orphan"),
@@ -92,7 +92,7 @@ def _(s, d):
     return census(s, d).select("language", "page_id", "title", F.when(graph.valid_item(F.col("item")), F.col("item")).alias("item"))
 
 
-@query("A13_anchors", r"""SELECT page_id, CAST(len(h) AS BIGINT) AS n, coalesce(h[1], '') AS first FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*"([^"]*)"', 1) AS h FROM pages)""")
+@query("A13_anchors", r"""SELECT page_id, CAST(len(h) AS BIGINT) AS n, coalesce(h[1], '') AS first FROM (SELECT page_id, list_transform(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), lambda x: CASE WHEN x[1] IN ('"', '') THEN x[2:-2] ELSE x END) AS h FROM pages)""")
 def _(s, d):
     rows = s.read.parquet(f"{d}/pages.parquet").select("page_id", dump.anchors(F.col("html")).alias("h"))
     return rows.select("page_id", F.size("h").cast("long").alias("n"), F.coalesce(F.get("h", F.lit(0)), F.lit("")).alias("first"))
@@ -104,9 +104,11 @@ def _(s, d):
     return observations.latest_entries(o).select("language", "file")
 
 
-@query("B13_fingerprint", "SELECT count(*) AS n FROM part")
+@query("B13_fingerprint", """WITH h AS (SELECT sha256('[' || CASE WHEN p_partkey % 5 = 0 THEN 'null' ELSE '"' || p_brand || '"' END || ',' || CASE WHEN p_partkey % 3 = 0 THEN 'null' ELSE '"' || p_partkey || '"' END || ']') AS h FROM part)
+SELECT count(*) AS n, """ + " || '-' || ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 12 * k}, 12) AS BIGINT)) AS VARCHAR)" for k in range(4)) + " AS total FROM h")
 def _(s, d):
-    return publish.fingerprint(s.read.parquet(f"{d}/part.parquet")).select("n")
+    k = F.col("p_partkey")
+    return publish.fingerprint(s.read.parquet(f"{d}/part.parquet").select(F.when(k % 5 != 0, F.col("p_brand")).alias("a"), F.when(k % 3 != 0, k).alias("b")))
 
 
 @query("C5_category_candidates", duckdb_with("page_category") + " SELECT DISTINCT language, page_id, category FROM page_category WHERE NOT regexp_matches(category, '(?i)(steel|^size 3)') AND category NOT IN ('Brand#11', 'size 4')")
@@ -221,9 +223,9 @@ def _(s, d):
     return categories.narrowest(categories.candidates(spark_view(s, d, "page_category")), closure(s, d))
 
 
-@query("J_C1_ranked", CAT + " SELECT language, page_id, category, support, CAST(round(score, 5) AS DOUBLE) AS score, CAST(priority AS DOUBLE) AS priority FROM ranked")
+@query("J_C1_ranked", CAT + " SELECT language, page_id, category, support, CAST(score AS DOUBLE) AS score, CAST(priority AS DOUBLE) AS priority FROM ranked")
 def _(s, d):
-    return ranked(s, d).select("language", "page_id", "category", "support", F.round("score", 5).alias("score"), "priority")
+    return ranked(s, d).select("language", "page_id", "category", "support", "score", "priority")
 
 
 def ranked(s, d):
@@ -282,11 +284,11 @@ def _stamp(c: Column) -> Column:
 _STAMP = "'2024-01-' || lpad(CAST({0} % 31 + 1 AS VARCHAR), 2, '0') || ' 10:00:' || lpad(CAST({0} % 61 AS VARCHAR), 2, '0')"
 
 
-@query("J_H1_creation_dates", f"""WITH st AS (SELECT o_custkey AS page_id, {_STAMP.format('o_orderkey % 91')} AS stamp FROM orders WHERE o_orderkey % 5 = 0),
-per AS (SELECT page_id, count(DISTINCT CASE WHEN stamp LIKE '%:60' THEN '?' ELSE stamp END) AS n, bool_or(stamp LIKE '%:60') AS bad, min(stamp) AS stamp FROM st GROUP BY page_id)
+@query("J_H1_creation_dates", f"""WITH st AS (SELECT o_custkey AS page_id, CASE WHEN o_orderkey % 5 = 0 THEN {_STAMP.format('o_orderkey % 91')} END AS stamp FROM orders),
+per AS (SELECT page_id, count(DISTINCT CASE WHEN stamp LIKE '%:60' THEN '?' ELSE stamp END) AS n, bool_or(stamp LIKE '%:60') AS bad, min(stamp) AS stamp FROM st WHERE stamp IS NOT NULL GROUP BY page_id)
 SELECT c_custkey AS page_id, CASE WHEN n = 1 AND NOT bad THEN stamp END AS created, CASE WHEN n IS NULL THEN 'missing_history_creation' WHEN n > 1 OR bad THEN 'ambiguous_history_creation' ELSE 'reconstructed_history' END AS creation_status FROM customer LEFT JOIN per ON page_id = c_custkey""")
 def _(s, d):
-    o = s.read.parquet(f"{d}/orders.parquet").filter("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("page_id"), _stamp(F.col("o_orderkey") % 91).alias("at"))
+    o = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("page_id"), F.when(F.col("o_orderkey") % 5 == 0, _stamp(F.col("o_orderkey") % 91)).otherwise("").alias("at"))
     pages = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("page_id"))
     return history.creation_dates(o, pages).withColumn("created", F.date_format("created", "yyyy-MM-dd HH:mm:ss"))
 
@@ -342,9 +344,9 @@ def _(s, d):
     return observations.collection_interval(rows, ["collection"])
 
 
-@query("D18_set_difference", "SELECT c_custkey AS id, 'left' AS side FROM customer ANTI JOIN (SELECT o_custkey FROM orders WHERE o_orderkey % 11 = 0) ON o_custkey = c_custkey")
+@query("D18_set_difference", "SELECT c_custkey AS id, 'left' AS side FROM customer ANTI JOIN (SELECT o_custkey * 2 AS id FROM orders) o ON o.id = c_custkey UNION ALL SELECT DISTINCT o_custkey * 2, 'right' FROM orders ANTI JOIN customer ON o_custkey * 2 = c_custkey")
 def _(s, d):
-    return observations.set_difference(s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id")), s.read.parquet(f"{d}/orders.parquet").filter("o_orderkey % 11 = 0").select(F.col("o_custkey").alias("id")), ["id"])
+    return observations.set_difference(s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id")), s.read.parquet(f"{d}/orders.parquet").select((F.col("o_custkey") * 2).alias("id")), ["id"])
 
 
 @query("B14_mixed_metadata", "SELECT n_regionkey AS region, CASE WHEN count(DISTINCT n_nationkey % 5) <= 1 THEN CAST(min(n_nationkey % 5) AS VARCHAR) ELSE 'mixed_per_language' END AS value FROM nation GROUP BY n_regionkey")
@@ -374,10 +376,12 @@ def _(s, d):
 
 
 @query("J_Q4_quality", _WIKI + """ SELECT c.language, c.page_id, CASE WHEN x.page_id IS NULL THEN 'missing_current_page' WHEN NOT has_text THEN 'missing_wikitext' ELSE 'scored' END AS quality_status,
- round(CASE WHEN has_text THEN """ + " + ".join(f"{w} * least(x{k}, m{k}) / m{k}" for k, w in enumerate(quality.WEIGHTS)) + """ END, 6) AS quality_score FROM (SELECT DISTINCT lang AS language, doc_id AS page_id FROM documents) c LEFT JOIN x ON x.page_id = c.page_id AND x.language = c.language LEFT JOIN m ON m.language = c.language""")
+ round(CASE WHEN has_text THEN """ + " + ".join(f"{w} * least(x{k}, m{k}) / m{k}" for k, w in enumerate(quality.WEIGHTS)) + """ END, 6) AS quality_score FROM (SELECT DISTINCT lang AS language, doc_id * 2 AS page_id FROM documents UNION SELECT DISTINCT lang, doc_id * 2 + 1 FROM documents) c LEFT JOIN x ON x.page_id * 2 = c.page_id AND x.language = c.language LEFT JOIN m ON m.language = c.language""")
 def _(s, d):
-    pages = s.read.parquet(f"{d}/documents.parquet").select(F.col("lang").alias("language"), F.col("doc_id").alias("page_id")).distinct()
-    return rounded(quality.supplement(spark_view(s, d, "content"), pages), "quality_score")
+    """Every document is the content of one page, and there is one without content beside it."""
+    twice = F.explode(F.array(F.col("doc_id") * 2, F.col("doc_id") * 2 + 1))
+    pages = s.read.parquet(f"{d}/documents.parquet").select(F.col("lang").alias("language"), twice.alias("page_id")).distinct()
+    return rounded(quality.supplement(spark_view(s, d, "content").withColumn("page_id", F.col("page_id") * 2), pages), "quality_score")
 
 
 @query("E7_quality_coverage", _WIKI + " SELECT language, count(*) AS pages, count(*) FILTER (text IS NOT NULL) AS scored, count(*) FILTER (text IS NULL) AS missing FROM content GROUP BY language")
@@ -400,8 +404,8 @@ grid AS (SELECT o.language, o.page_id, w.other, i.n, i.page_id AS page_id_there,
 
 
 class _Comparison:
-    def __init__(self, s, d):
-        self.census, edge = census(s, d), edges(s, d)
+    def __init__(self, s, d, edge=None):
+        self.census, edge = census(s, d), edges(s, d) if edge is None else edge
         self.degree, self.items, self.unique = degree(s, d, edge), graph.item_counts(self.census), graph.unique_items(self.census)
         none_in = self.degree.filter("in_degree = 0").select("language", "page_id")
         self.all_orphans = self.census.join(none_in, ["language", "page_id"]).select("language", "page_id", "item")
@@ -445,8 +449,8 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY language, target_id ORDER BY (l
 short AS (SELECT language, target_id, link_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY language, target_id, dead_end ORDER BY rank) AS g FROM rk) WHERE g <= 5)"""
 
 
-def shortlist(s, d):
-    c = _Comparison(s, d).candidates
+def shortlist(s, d, edge=None):
+    c = _Comparison(s, d, edge).candidates
     mention = c.select("language", "target_id", "link_id", F.when(F.col("link_id") % 3 == 0, True).when(F.col("link_id") % 3 == 1, False).alias("local_mention"))
     return compare.shortlist(c, mention)
 
@@ -535,13 +539,13 @@ def _(s, d):
     return rounded(reports.cumulative(observed(s, d).select("orphan", F.col("length_bytes").alias("value"))), "share")
 
 
-@query("E19_interests", OBSERVED + """, ed AS (SELECT language, topic_labels FROM observed WHERE page_id % 40 < 4), n AS (SELECT count(*) AS edits, count(*) FILTER (len(topic_labels) > 0) AS known FROM ed),
+@query("E19_interests", OBSERVED + """, ed AS (SELECT language, topic_labels FROM observed), n AS (SELECT count(*) AS edits, count(*) FILTER (len(topic_labels) > 0) AS known FROM ed),
 w AS (SELECT label, sum(share) AS weight FROM (SELECT unnest(topic_labels) AS label, 1.0::DOUBLE / len(topic_labels) AS share FROM ed WHERE len(topic_labels) > 0) GROUP BY label), l AS (SELECT language, count(*) AS c FROM ed GROUP BY language),
 sp AS (SELECT page_id, sum(weight) AS weight FROM (SELECT page_id, unnest(topic_labels) AS label FROM observed) JOIN w USING (label) GROUP BY page_id)
 SELECT o.page_id AS key, round(coalesce(sp.weight, 0) / n.known, 6) AS topic, round(coalesce(l.c, 0)::DOUBLE / n.edits, 6) AS language FROM observed o CROSS JOIN n LEFT JOIN sp ON sp.page_id = o.page_id LEFT JOIN l ON l.language = o.language""")
 def _(s, d):
     rows = observed(s, d).select(F.col("page_id").alias("key"), "language", "topic_labels")
-    return rounded(reports.interests(rows.filter("key % 40 < 4"), rows, aggregate=True), "topic", "language")
+    return rounded(reports.interests(rows, rows, aggregate=True), "topic", "language")
 
 
 @query("J_N2_creator_totals", OBSERVED + " SELECT page_id, count(*) OVER (PARTITION BY creator_key) AS total, sum(CAST(orphan AS INTEGER)) OVER (PARTITION BY creator_key)::BIGINT AS orphans FROM observed WHERE creator_key IS NOT NULL")
@@ -556,9 +560,9 @@ def _(s, d):
 _PAGES = OBSERVED + ", p AS (SELECT *, lower(title) AS title_fold, CASE WHEN page_id % 5 <> 0 THEN page_id % 4 END AS n, 'c' || (page_id % 7) AS category FROM observed)"
 
 
-def published(s, d):
+def published(s, d, edge=None):
     k = F.col("page_id")
-    return observed(s, d).withColumns({"count": F.when(k % 5 != 0, k % 4), "category": F.concat(F.lit("c"), (k % 7).cast("string"))})
+    return observed(s, d, edge).withColumns({"count": F.when(k % 5 != 0, k % 4), "category": F.concat(F.lit("c"), (k % 7).cast("string"))})
 
 
 @query("N1_articles", _PAGES + " SELECT language, page_id, title FROM p WHERE language = 'de' AND contains(title_fold, '1') AND category NOT IN ('c1', 'c2') ORDER BY age IS NULL, age DESC, title_fold, title, page_id, language LIMIT 25 OFFSET 25")
@@ -586,9 +590,10 @@ def _(s, d):
 
 @query("D22_open_targets", _SHORT + " SELECT d.language, d.page_id FROM degree d WHERE d.in_degree = 0 AND NOT (EXISTS (SELECT 1 FROM short s WHERE s.language = d.language AND s.target_id = d.page_id) AND NOT EXISTS (SELECT 1 FROM short s WHERE s.language = d.language AND s.target_id = d.page_id AND s.link_id % 2 <> 0))")
 def _(s, d):
-    short = shortlist(s, d)
+    edge = edges(s, d)
+    short = shortlist(s, d, edge)
     q = serving.PageQuery(kind="cards", all_open=True)
-    return serving.filtered(published(s, d), q, closed=short.filter("link_id % 2 = 0"), shortlist=short).select("language", "page_id")
+    return serving.filtered(published(s, d, edge), q, closed=short.filter("link_id % 2 = 0"), shortlist=short).select("language", "page_id")
 
 
 @query("G3_casefold_preview", OBSERVED + " SELECT language, page_id, title FROM observed WHERE orphan ORDER BY lower(title), title, language, page_id LIMIT 25")

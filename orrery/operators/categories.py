@@ -7,8 +7,7 @@ import re
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-PATTERNS = ("^wikipedia:", "stub", "articles? ", "pages? ")
-
+from ..session import hold
 
 def check_rules(patterns: tuple[str, ...], priority: dict[str, float], min_support: float) -> None:
     if not (math.isfinite(min_support) and min_support > 0):
@@ -44,10 +43,6 @@ def label_text(page_category: DataFrame) -> DataFrame:
 
 def ancestors(parent: DataFrame, max_depth: int = 64) -> DataFrame:
     """language, category, ancestor of the hierarchy, cycles included; breadth first, each pair once. The frontier joins the parents and leaves out what is seen."""
-    spark = parent.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None and (shared := spark.conf.get("spark.checkpoint.dir", None)):
-        spark.sparkContext.setCheckpointDir(shared)
-    hold = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() is not None else (lambda d: d.cache())
     step = parent.select("language", F.col("category").alias("ancestor"), F.col("parent").alias("next"))
     seen = hold(parent.select("language", "category", F.col("parent").alias("ancestor")).distinct())
     frontier = seen
@@ -80,11 +75,14 @@ def ranked(page_category: DataFrame, census: DataFrame, closure: DataFrame, patt
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("language", "page_id").orderBy(F.desc("priority"), F.desc("score"), "category")))
 
 
-def choices(rank: DataFrame, census: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
-    """language, page_id, choice, manual; an override must be one of the page's ranked categories' names."""
+def choices(rank: DataFrame, census: DataFrame, overrides: DataFrame | None = None, page_category: DataFrame | None = None) -> DataFrame:
+    """language, page_id, choice, manual. overrides(language, page_id, category), one a page; a category that page_category doesn't give the page is an error."""
     top = rank.filter("rank = 1").select("language", "page_id", F.col("category").alias("choice"))
     rows = census.select("language", "page_id").join(top, ["language", "page_id"], "left")
-    if not overrides:
+    if overrides is None:
         return rows.withColumn("manual", F.lit(False))
-    named = F.try_element_at(F.create_map(*[F.lit(x) for kv in overrides.items() for x in kv]), F.col("page_id").cast("string"))
-    return rows.withColumn("named", named).select("language", "page_id", F.coalesce("named", "choice").alias("choice"), F.col("named").isNotNull().alias("manual"))
+    owned = page_category.select("language", "page_id", "category", F.lit(True).alias("owned")).distinct()
+    named = overrides.join(owned, ["language", "page_id", "category"], "left").withColumnRenamed("category", "named")
+    both = rows.join(named, ["language", "page_id"], "left")
+    checked = F.when(F.col("named").isNotNull() & F.col("owned").isNull(), F.raise_error(F.concat(F.lit("an override names a category that the page hasn't: "), F.col("named")))).otherwise(F.col("named"))
+    return both.select("language", "page_id", F.coalesce(checked.cast("string"), "choice").alias("choice"), F.col("named").isNotNull().alias("manual"))

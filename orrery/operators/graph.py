@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import hold
+
 ITEM = r"^Q[1-9][0-9]*\z"
 
 
@@ -15,19 +17,17 @@ def valid_item(item: Column) -> Column:
 def resolve_redirects(redirects: DataFrame, max_rounds: int = 40) -> DataFrame:
     """language, title, target, where target is the end of the chain; titles in or before a cycle have a null target.
 
-    redirects(language, title, target), the last of several rows of a title being any one of them.
+    redirects(language, title, target) and, where a title may have several rows, position: the last one counts,
+    or the greatest target without positions.
     Each round doubles the steps that a row has taken, so a chain of n steps takes log2(n) rounds.
     """
-    start = redirects.groupBy("language", "title").agg(F.max("target").alias("target"))
-    spark = redirects.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None and (shared := spark.conf.get("spark.checkpoint.dir", None)):
-        spark.sparkContext.setCheckpointDir(shared)
-    reliable = spark.sparkContext.getCheckpointDir() is not None
+    last = F.max_by("target", "position") if "position" in redirects.columns else F.max("target")
+    start = redirects.groupBy("language", "title").agg(last.alias("target"))
     now, rows = start, None
     for _ in range(max_rounds):
         step = now.select("language", F.col("title").alias("target"), F.col("target").alias("far"))
         moved = now.join(step, ["language", "target"], "left").select("language", "title", F.coalesce("far", "target").alias("target"), F.col("far").isNotNull().alias("moved"))
-        moved = moved.checkpoint() if reliable else moved.cache()
+        moved = hold(moved)
         going = moved.filter("moved").count()
         now = moved.select("language", "title", "target")
         if going in (0, rows):  # every chain has rows that stop in each round, so what goes on in the same number runs in circles
@@ -37,10 +37,15 @@ def resolve_redirects(redirects: DataFrame, max_rounds: int = 40) -> DataFrame:
     return now.join(ends, ["language", "target"], "left").select("language", "title", F.when(F.col("goes_on").isNull(), F.col("target")).alias("target"))
 
 
+def one_page() -> Column:
+    """An aggregate: the page of a title; two pages of one title are an error, as links would count twice."""
+    return F.when(F.count("*") > 1, F.raise_error(F.concat(F.lit("two pages have the title "), F.first("title"))).cast("long")).otherwise(F.min("page_id"))
+
+
 def resolved_links(links: DataFrame, census: DataFrame, resolved: DataFrame) -> DataFrame:
     """language, source_id, target_id per link occurrence; a null target_id is unresolved. A redirect goes before a page of its title."""
     hop = resolved.select("language", F.col("title").alias("target_title"), F.col("target"), F.lit(True).alias("redirected"))
-    pages = census.select("language", F.col("title").alias("final"), F.col("page_id").alias("target_id"))
+    pages = census.groupBy("language", F.col("title").alias("final")).agg(one_page().alias("target_id"))
     ends = links.join(hop, ["language", "target_title"], "left").withColumn("final", F.when(F.col("redirected"), F.col("target")).otherwise(F.col("target_title")))
     return ends.join(pages, ["language", "final"], "left").select("language", "source_id", "target_id")
 

@@ -2,35 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .ranks import quantile
+
 FIELDS = ("sqrt_length", "refs", "headings", "links", "media", "categories")
 # Fixed values of the measure: weights and least normalisers of the six features in their order.
 WEIGHTS = (0.395, 0.181, 0.123, 0.115, 0.114, 0.07)
 MINIMUMS = (100.0, 0.15, 0.1, 0.1, 2.0, 5.0)
 MEDIA, CATEGORY = ("File", "Image", "Media"), ("Category",)
 
+# Fixed values of the measure: what counts as a reference, a heading and a link. A link is whatever stands between
+# brackets, which aren't part of the find, so that neighbouring links may share them.
 _REF_EMPTY = r"(?i)<ref([\s\x1c-\x1f][^/>]*)?/>"
 _REF_FULL = r"(?i)<ref([\s\x1c-\x1f][^/>]*)?>[\s\S]*?</ref>"
 _HEADING = r"(={2,})(.*?)(={2,})"
-
-
-def bracketed(text: str) -> list[str]:
-    """What stands after [[ and before the next ]], where the brackets of one find may serve the next, and a find that is empty is tried again for one that isn't."""
-    out, at, empty_at = [], 0, -1
-    while True:
-        opened = text.find("[[", max(0, at - 2))
-        if opened < 0:
-            return out
-        start = opened + 2
-        end = text.find("]]", start + (empty_at == start))
-        if end < 0:
-            return out
-        out.append(text[start:end])
-        empty_at = start if start == end else -1
-        at = end
+_LINK = re.compile(r"(?s)(?<=\[\[).*?(?=\]\])")
 
 
 def link_counts(media: tuple[str, ...], category: tuple[str, ...]):
@@ -40,9 +31,11 @@ def link_counts(media: tuple[str, ...], category: tuple[str, ...]):
     def counted(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
-            prefixes = [x.split(":", 1)[0] for x in bracketed(text or "")]
-            m, c = sum(p in media_set for p in prefixes), sum(p in category_set for p in prefixes)
-            rows.append((len(prefixes) - m - c, m, c))
+            n = m = c = 0
+            for found in _LINK.finditer(text or ""):
+                namespace = found[0].partition(":")[0]
+                n, m, c = n + 1, m + (namespace in media_set), c + (namespace in category_set)
+            rows.append((n - m - c, m, c))
         return pd.DataFrame(rows, columns=["links", "media", "categories"])
 
     return pandas_udf(counted, "links long, media long, categories long")
@@ -66,8 +59,12 @@ def transformed(df: DataFrame) -> DataFrame:
 
 
 def normalisers(df: DataFrame, by: tuple[str, ...] = ("language",)) -> DataFrame:
-    """The exact 95th percentile of each feature, at least its minimum; a row per edition."""
-    return df.groupBy(*by).agg(*(F.greatest(F.lit(m), F.coalesce(F.percentile(f"x{k}", F.lit(0.95)), F.lit(m))).alias(f"m{k}") for k, m in enumerate(MINIMUMS)))
+    """The exact 95th percentile of each feature, at least its minimum; a row per edition. No edition's values meet in one task."""
+    out = df.select(*by).distinct()
+    for k, least in enumerate(MINIMUMS):
+        top = quantile(df, list(by), F.col(f"x{k}"), 0.95, f"m{k}")
+        out = out.join(F.broadcast(top), list(by), "left").withColumn(f"m{k}", F.greatest(F.lit(least), F.coalesce(f"m{k}", F.lit(least))))
+    return out
 
 
 def score(x: list[Column], m: list[Column]) -> Column:

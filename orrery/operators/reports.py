@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .observations import measured
+from .ranks import counted, quantile, ranked
 
 
 def percent(n: Column, d: Column) -> Column:
@@ -66,7 +67,10 @@ def features(rows: DataFrame, labels: list[tuple[str, Column]]) -> DataFrame:
 
 def thresholds(rows: DataFrame, columns: list[str]) -> DataFrame:
     """The exact median of each measure per edition."""
-    return rows.groupBy("language").agg(*(F.median(measured(F.col(c))).alias(f"{c}_median") for c in columns))
+    out = rows.select("language").distinct()
+    for c in columns:
+        out = out.join(F.broadcast(quantile(rows, ["language"], measured(F.col(c)), 0.5, f"{c}_median")), "language", "left")
+    return out
 
 
 def _below(parent: str):
@@ -87,24 +91,16 @@ def profiles(rows: DataFrame, topics: list[str], parents: list[str]) -> DataFram
         "macrotheme": [(p, F.exists("topic_labels", _below(p))) for p in parents],
         "feature": [("new", below["age"]), ("old", ~below["age"]), ("quality_high", ~below["quality"]), ("quality_low", below["quality"]), ("short", below["length"]), ("long", ~below["length"])],
     }
-    frames = [features(split, labels).select(F.lit(kind).alias("kind"), "*") for kind, labels in kinds.items() if labels]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    told = features(split, [(f"{kind}/{name}", known) for kind, labels in kinds.items() for name, known in labels])
+    part = lambda k: F.regexp_extract("label", "^([^/]*)/(.*)$", k)
+    return told.select(part(1).alias("kind"), part(2).alias("label"), *(c for c in told.columns if c != "label"))
 
 
 def order_statistics(rows: DataFrame) -> DataFrame:
     """lower, upper: values at ranks floor(.02 (n - 1)) and ceil(.98 (n - 1)) of all known values; found on counts of distinct values."""
     values = rows.select(measured(F.col("value")).alias("value")).filter("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n"))
-    bounds = values.agg(F.percentile("value", F.array(F.lit(0.0), F.lit(1.0)), F.col("n")).alias("b"), F.sum("n").alias("n")).select("n", F.floor((F.col("n") - 1) * 0.02).alias("low"), F.ceil((F.col("n") - 1) * 0.98).alias("high"))
-    # Ranks come from sums over ranges of values, so no window holds all of them in one task.
-    cuts = values.agg(F.percentile_approx("value", [k / 64 for k in range(1, 64)], 1000).alias("cuts"))
-    ranged = values.join(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
-    before = ranged.groupBy("range").agg(F.sum("n").alias("in_range")).withColumn("before", F.coalesce(F.sum("in_range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    upto = F.sum("n").over(Window.partitionBy("range").orderBy("value"))
-    ranks = ranged.withColumn("own", upto).join(F.broadcast(before), "range").select("value", (F.col("before") + F.col("own") - F.col("n")).alias("first"), (F.col("before") + F.col("own") - 1).alias("last"))
-    return ranks.join(F.broadcast(bounds.select("low", "high"))).agg(F.max(F.when((F.col("first") <= F.col("low")) & (F.col("low") <= F.col("last")), F.col("value"))).alias("lower"), F.max(F.when((F.col("first") <= F.col("high")) & (F.col("high") <= F.col("last")), F.col("value"))).alias("upper"))
+    bounds = values.agg(F.sum("n").alias("n")).select("n", F.floor((F.col("n") - 1) * 0.02).alias("low"), F.ceil((F.col("n") - 1) * 0.98).alias("high"))
+    return ranked(values, []).join(F.broadcast(bounds.select("low", "high"))).agg(F.max(F.when((F.col("first") <= F.col("low")) & (F.col("low") <= F.col("last")), F.col("value"))).alias("lower"), F.max(F.when((F.col("first") <= F.col("high")) & (F.col("high") <= F.col("last")), F.col("value"))).alias("upper"))
 
 
 def axis(v: Column, kind: str) -> Column:
@@ -137,9 +133,8 @@ def month_histogram(rows: DataFrame) -> DataFrame:
 
 def cumulative(rows: DataFrame) -> DataFrame:
     """orphan, value, share of the group's known values up to it, ties as one; by counts of distinct values."""
-    values = rows.select("orphan", measured(F.col("value")).alias("value")).filter("value IS NOT NULL").groupBy("orphan", "value").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("orphan"))
-    return values.select("orphan", "value", (F.sum("n").over(Window.partitionBy("orphan").orderBy("value")) / total).alias("share"))
+    values = counted(rows, ["orphan"], measured(F.col("value")))
+    return ranked(values, ["orphan"]).select("orphan", "value", ((F.col("last") + 1) / F.col("total")).alias("share"))
 
 
 def interests(edits: DataFrame, candidates: DataFrame, aggregate: bool) -> DataFrame:

@@ -20,9 +20,15 @@ def canonical_sha256(value) -> str:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """n, total, mixed: of a table's rows in any order, repeated rows included."""
-    h = F.xxhash64(*(df[c] for c in sorted(df.columns)))
-    return df.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("total"), F.bit_xor(h).alias("mixed"))
+    """n, total: of a table's rows in any order, repeated rows included; total sums the four 48-bit parts of each row's SHA-256.
+
+    A row is the JSON list of its values as text, in order of the columns' names, with null apart from any text.
+    """
+    text = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(c.cast("string").alias("v"))), '(?s)^.{5}(.*).$', 1), F.lit(""))
+    values = [F.when(df[c].isNull(), F.lit("null")).otherwise(text(df[c])) for c in sorted(df.columns)]
+    h = F.sha2(F.concat(F.lit("["), F.concat_ws(",", *values), F.lit("]")), 256)
+    parts = [F.sum(F.conv(F.substring(h, 1 + 12 * k, 12), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(4)]
+    return df.agg(F.count("*").alias("n"), F.concat_ws("-", *parts).alias("total"))
 
 
 def _fs(spark: SparkSession, path: str):
@@ -31,20 +37,37 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def write_atomic(spark: SparkSession, path: str, text: str) -> None:
-    fs, p, jvm = _fs(spark, path)
-    staged = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+def _numbered(fs, folder) -> list[int]:
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return sorted(int(n) for n in names if n.isdecimal())
+
+
+def write_next(spark: SparkSession, path: str, text: str) -> int:
+    """Writes text as the next numbered file of the folder path, and returns its number.
+
+    A file gets its number by one rename when it is whole, so a reader finds the old or the new text,
+    whenever the writer stops. Two writers at once: one gets the number, the other an error.
+    """
+    fs, folder, jvm = _fs(spark, path)
+    fs.mkdirs(folder)
+    staged = jvm.org.apache.hadoop.fs.Path(folder, f"_{uuid.uuid4().hex}")
     out = fs.create(staged)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(staged, p)
+    number = max(_numbered(fs, folder), default=0) + 1
+    target = jvm.org.apache.hadoop.fs.Path(folder, str(number))
+    if fs.exists(target) or not fs.rename(staged, target):
+        fs.delete(staged, False)
+        raise RuntimeError(f"{target.toString()} is another writer's")
+    return number
 
 
-def read_text(spark: SparkSession, path: str) -> str | None:
-    fs, p, _ = _fs(spark, path)
-    return "\n".join(r.value for r in spark.read.text(path).collect()) if fs.exists(p) else None
+def read_last(spark: SparkSession, path: str) -> str | None:
+    fs, folder, _ = _fs(spark, path)
+    found = _numbered(fs, folder)
+    return "\n".join(r.value for r in spark.read.text(f"{path}/{found[-1]}").collect()) if found else None
 
 
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], checks: dict[str, DataFrame] | None = None, partition_by: str = "language") -> dict:
@@ -59,12 +82,12 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], checks
         if not bad.isEmpty():
             raise ValueError(f"not published: {name}")
     manifest["sha256"] = canonical_sha256(manifest["tables"])
-    write_atomic(spark, f"{root}/current.json", canonical_json(manifest))
+    write_next(spark, f"{root}/current", canonical_json(manifest))
     return manifest
 
 
 def current(spark: SparkSession, root: str) -> dict | None:
-    text = read_text(spark, f"{root}/current.json")
+    text = read_last(spark, f"{root}/current")
     return json.loads(text) if text else None
 
 

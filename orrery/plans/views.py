@@ -23,10 +23,11 @@ VIEWS = {
   CASE WHEN p.p_partkey % 17 = l.k THEN NULL WHEN p.p_partkey % 53 = l.k THEN 'Q7' WHEN p.p_partkey % 41 = l.k THEN 'Q0' || CAST(p.p_partkey AS STRING)
     ELSE 'Q' || CAST(p.p_partkey + 1 AS STRING) END AS item, CAST(p.p_size * 100 + p.p_partkey % 97 AS DOUBLE) AS length_bytes
 FROM {{part}} p CROSS JOIN {_LANG} WHERE p.p_partkey % 7 <> l.k""",
-    "raw_link": f"""SELECT l.language, x.l_partkey * 4 + l.k AS source_id,
+    "raw_link": f"""SELECT l.language, CASE WHEN x.p % 7 <> x.k THEN x.p WHEN x.p < 3 THEN x.p + 3 ELSE x.p - 3 END * 4 + l.k AS source_id,
   CASE WHEN x.l_linenumber = 1 THEN 'R-' || CAST(x.n AS STRING) ELSE l.language || '-' || lpad(CAST(x.n AS STRING), 6, '0') END AS target_title
-FROM (SELECT l_partkey, l_linenumber, l_orderkey % 4 AS k, (l_suppkey * 31 + l_orderkey) % (SELECT count(*) FROM {{part}}) AS n FROM {{lineitem}} WHERE l_quantity >= 48) x
-JOIN {_LANG} ON x.k = l.k WHERE x.l_partkey % 7 <> l.k""",
+FROM (SELECT l_linenumber, k, greatest(p - (p + k + 1) % 3, 0) AS p, greatest(n - (n + k) % 3, 0) AS n
+  FROM (SELECT l_linenumber, l_orderkey % 4 AS k, l_partkey AS p, (l_suppkey * 31 + l_orderkey) % (SELECT count(*) FROM {{part}}) AS n FROM {{lineitem}}) y) x
+JOIN {_LANG} ON x.k = l.k""",
     "redirect": f"""SELECT l.language, 'R-' || CAST(p.p_partkey AS STRING) AS title, 'S-' || CAST(p.p_partkey AS STRING) AS target FROM {{part}} p CROSS JOIN {_LANG}
 UNION ALL SELECT l.language, 'S-' || CAST(p.p_partkey AS STRING), CASE WHEN p.p_partkey % 50 = 0 THEN 'R-' || CAST(p.p_partkey AS STRING)
   WHEN p.p_partkey % 61 = 0 THEN 'missing-' || CAST(p.p_partkey AS STRING) ELSE l.language || '-' || lpad(CAST(p.p_partkey AS STRING), 6, '0') END FROM {{part}} p CROSS JOIN {_LANG}""",
@@ -40,7 +41,7 @@ UNION SELECT l.language, 'size 1', 'size 2' FROM {_LANG} UNION SELECT l.language
     "creation": "SELECT event_id AS page_id, user_id, <<us>> AS us FROM {events} WHERE event_type = 'signup'",
     "content": """SELECT doc_id AS page_id, lang AS language, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 17 = 0 THEN ''
   ELSE text || repeat('[[Category:C]]', CAST(doc_id % 4 AS INT)) || repeat('[[File:X]]', CAST(doc_id % 3 AS INT)) || repeat('[[Foo|bar]]', CAST(doc_id % 5 AS INT)) || repeat('==A==', CAST(doc_id % 3 AS INT)) || repeat('<ref>a</ref>', CAST(doc_id % 2 AS INT)) END AS text
-FROM {documents} WHERE doc_id % 19 <> 0""",
+FROM {documents}""",
 }
 
 

@@ -114,8 +114,10 @@ def read_content(spark: SparkSession, path: str) -> DataFrame:
 
 
 def anchors(html):
-    """The href of each anchor, in order; quotes may hold >."""
-    return F.regexp_extract_all(html, F.lit(r"""(?i)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?href\s*=\s*"([^"]*)\""""), F.lit(1))
+    """The href of each anchor, in order, in quotes of either kind or in none; quotes may hold >."""
+    value = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    found = F.regexp_extract_all(html, F.lit(rf"""(?i)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?href\s*=\s*{value}"""), F.lit(1))
+    return F.transform(found, lambda x: F.when(F.substring(x, 1, 1).isin('"', "'"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x))
 
 
 def history_partitions(names: list[str]) -> list[str]:

@@ -12,5 +12,11 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
 
 
 def monthly_edits(stream: DataFrame, late: str = "1 day") -> DataFrame:
-    """Edits per user and calendar month of a stream of events(user_id, ts); ts as timestamp with a watermark."""
-    return stream.withWatermark("ts", late).groupBy("user_id", (F.year("ts") * 12 + F.month("ts")).alias("month"), F.window("ts", "31 days")).count()
+    """user_id, month (its first instant), count: edits per user and calendar month of a stream of events(user_id, ts).
+
+    The month is a time under the watermark, so in append mode a month is given out, and its state
+    dropped, once the watermark has passed its first instant by `late` and 31 days.
+    """
+    late_by = F.date_trunc("month", "ts")
+    months = stream.withColumn("month", late_by).withWatermark("month", f"{31 + int(late.split()[0])} days")
+    return months.groupBy("user_id", "month").count()
