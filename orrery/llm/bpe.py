@@ -3,8 +3,9 @@
 Words are the runs of characters between ASCII white space. The vocabulary's rules (composition,
 lower case, the pattern of pre-tokens, special tokens) never look across white space, so the ids of a
 text are those of its words in order. Each distinct word is encoded once, in a table dealt out by the
-words' hash buckets; its ids and the pieces they stand for come back to the documents by block and word number
-(see wordblocks). Only the vocabulary file is broadcast; its size is that of the vocabulary.
+words' hash buckets; its ids come back to the documents by block and word number (see wordblocks), and a
+join of a block's distinct ids with the id-to-piece table gives its words' pieces. Only the vocabulary
+file and that table are broadcast; their size is that of the vocabulary.
 
 Defined results: null and empty texts have no ids, and the digests of the empty string. A null
 doc_id stays null. Repeated rows give repeated results. Columns other than the two named are unread.
@@ -66,14 +67,14 @@ def _encode(vocabulary: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
                 known.update(zip(new, (e.ids for e in t.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)), strict=True))
             ids = [known[w] for w in words]
             out.append(wb.pack({"idx": rows["idx"], "counts": np.fromiter(map(len, ids), np.int64, len(ids)), "ids": np.fromiter(chain.from_iterable(ids), np.int64)}))
-        yield pa.RecordBatch.from_pydict({"block": batch.column("block"), "pack": pa.array(out, pa.binary())})
+        yield pa.RecordBatch.from_pydict({"block": batch.column("block"), "words_digest": batch.column("words_digest"), "pack": pa.array(out, pa.binary())})
 
 
 def word_ids(packs: DataFrame, vocabulary: str) -> DataFrame:
-    """block, pack: the ids of each distinct word, for each block that holds it."""
+    """block, words_digest, pack: the ids of each distinct word, for each block that holds it."""
     shared = packs.sparkSession.sparkContext.broadcast(vocabulary)
     dealt = packs.repartition("bucket").sortWithinPartitions("bucket", "block")
-    return dealt.mapInArrow(lambda b: wb.lean(_encode(shared.value, b)), "block long, pack binary")
+    return dealt.mapInArrow(lambda b: wb.lean(_encode(shared.value, b)), "block long, words_digest long, pack binary")
 
 
 def _restored(rows: pa.Table) -> pa.Table:
@@ -100,8 +101,19 @@ def _sha256(words: np.ndarray, text: list[bytes]) -> str:
     return found.hexdigest()
 
 
-def _digests(vocabulary: str, docs: dict, rows: pa.Table) -> pa.Table:
-    table = pieces(vocabulary)
+def _named(flat: np.ndarray, table: pa.Table) -> list[bytes]:
+    """The pieces of the ids, by a join of the ids that occur with the id-to-piece table; at other ids nothing."""
+    ids = pa.table({"id": pa.array(np.unique(flat).astype(np.int32))})
+    found = ids.join(table, "id", join_type="inner")
+    if found.num_rows != ids.num_rows:
+        raise RuntimeError("an id has no piece")
+    out = [b""] * (int(flat.max()) + 1 if len(flat) else 0)
+    for i, piece in zip(found.column("id").to_pylist(), found.column("piece").to_pylist(), strict=True):
+        out[i] = piece.encode()
+    return out
+
+
+def _digests(table: pa.Table, docs: dict, rows: pa.Table) -> pa.Table:
     flat, counts = _split_ids(rows)
     bounds, idx, own, out = np.r_[0, np.cumsum(counts)], docs.pop("idx").astype(np.int32), [], {"n": [], "a": [], "b": []}
     for end, n in zip(np.cumsum(docs["lens"]).tolist(), docs["lens"].tolist(), strict=True):
@@ -110,7 +122,7 @@ def _digests(vocabulary: str, docs: dict, rows: pa.Table) -> pa.Table:
         own.append(words[per_word > 0])
         out["n"].append(int(per_word.sum()))
     del idx
-    for key, names in (("a", [str(i).encode() for i in range(len(table))]), ("b", [p.encode() for p in table])):  # one after the other, for memory
+    for key, names in (("a", [str(i).encode() for i in range(int(flat.max()) + 1 if len(flat) else 0)]), ("b", _named(flat, table))):  # one after the other, for memory
         text = []
         for at in range(0, len(counts), STEP):
             cuts = bounds[at : at + STEP + 1]
@@ -159,7 +171,8 @@ def digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     block_bytes: text of a block; smaller blocks need less of a worker's memory and more shuffle. The result is the same.
     """
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    listed = pieces(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(pa.table({"id": pa.array(range(len(listed)), pa.int32()), "piece": pa.array(listed, pa.string())}))
     return _joined(docs, vocabulary, lambda d, w: _digests(shared.value, d, w), schema, id_col, text_col, block_bytes)
 
 

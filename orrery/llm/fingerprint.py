@@ -20,8 +20,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .scratch import written
+from .skew import lookup
 
-BUCKET_ROWS, MAX_BUCKETS, BROADCAST_ROWS = 4000, 4096, 500_000
+BUCKET_ROWS, MAX_BUCKETS = 4000, 4096
 
 
 def canonical(text: Column) -> Column:
@@ -40,25 +41,41 @@ def _printed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return canon.select("doc_id", "canon", hashed(F.col("canon")).alias("fingerprint"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint, group_id, n_copies of every document; documents of one group have the same canonical text.
+def _groups(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """doc_id, fingerprint of each row; the buckets of one text; the buckets of several; and those by their texts.
 
-    Only the texts of buckets of two documents or more are compared. Those buckets' fingerprints are
-    broadcast up to BROADCAST_ROWS of them, and joined by shuffle beyond.
+    Only texts of buckets of two documents or more are compared; a table of those buckets is written,
+    and Spark broadcasts it if its size is within its own threshold.
     """
     printed = _printed(docs, id_col, text_col)
     prints = written(printed.select("doc_id", "fingerprint"), "fingerprints")
     buckets = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_copies")), "fingerprint-buckets")
-    shared = buckets.filter("n_copies > 1").select("fingerprint")
-    shared = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
+    shared = written(buckets.filter("n_copies > 1").select("fingerprint"), "fingerprint-shared")
     texts = printed.join(shared, "fingerprint").groupBy("fingerprint").agg(F.min("canon").alias("low"), F.max("canon").alias("high"))
     clashing = written(texts.filter("low <> high").select("fingerprint"), "fingerprint-clashes")
-    usual = prints.join(buckets.join(clashing, "fingerprint", "left_anti"), "fingerprint").select("doc_id", "fingerprint", "group_id", "n_copies")
+    apart = printed.join(clashing, "fingerprint").groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_copies"))
+    return prints, buckets.join(clashing, "fingerprint", "left_anti"), clashing, apart
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint, group_id, n_copies of every document; documents of one group have the same canonical text."""
+    prints, alike, clashing, apart = _groups(docs, id_col, text_col)
+    columns = ["doc_id", "fingerprint", "group_id", "n_copies"]
+    usual = lookup(prints, alike, "fingerprint").select(*columns)
+    if clashing.isEmpty():
+        return usual
+    return usual.union(_printed(docs, id_col, text_col).join(clashing, "fingerprint").join(apart, ["fingerprint", "canon"]).select(*columns))
+
+
+def edited_with_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of edited_digests(), group_id and n_copies of every document: each row gets the group of its own fingerprint, whatever its id."""
+    _, alike, clashing, apart = _groups(docs, id_col, text_col)
+    digests = edited_digests(docs, id_col, text_col, with_canon=True)
+    columns = [c for c in digests.columns if c != "canon"]
+    usual = lookup(written(digests.drop("canon"), "fingerprint-digests"), alike, "fingerprint").select(*columns, "group_id", "n_copies")
     if clashing.isEmpty():
         return usual
-    clash = printed.join(clashing, "fingerprint")
-    apart = clash.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_copies"))
-    return usual.union(clash.join(apart, ["fingerprint", "canon"]).select("doc_id", "fingerprint", "group_id", "n_copies"))
+    return usual.union(digests.join(clashing, "fingerprint").join(apart, ["fingerprint", "canon"]).select(*columns, "group_id", "n_copies"))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,7 +105,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return whole.withColumn("next_text", F.lead("text").over(down)).filter("NOT copy").select("doc_id", "text", "next_text")
 
 
-def edited_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_canon: bool = False) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document.
 
     The edited text has the last third of its code points replaced by the first as many of the next document.
@@ -99,4 +116,4 @@ def edited_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.select("doc_id", "n_chars", "text", "next_text", edited.alias("edited"))
     rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), canonical(F.col("text")).alias("canon"), canonical(F.col("edited")).alias("canon_edited"), canonical(F.col("next_text")).alias("canon_next"))
     like = lambda other: (F.col("canon") == F.col(other)).cast("double")
-    return rows.select("doc_id", "n_chars", "edited_sha256", hashed(F.col("canon")).alias("fingerprint"), hashed(F.col("canon_edited")).alias("edited_fingerprint"), like("canon_edited").alias("near_edited"), like("canon_next").alias("near_next"))
+    return rows.select(*["canon"] * with_canon, "doc_id", "n_chars", "edited_sha256", hashed(F.col("canon")).alias("fingerprint"), hashed(F.col("canon_edited")).alias("edited_fingerprint"), like("canon_edited").alias("near_edited"), like("canon_next").alias("near_next"))

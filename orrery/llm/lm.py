@@ -261,7 +261,7 @@ def score(docs: DataFrame, modulus: int = 5, remainder: int = 1, id_col: str = "
     s = symbols(words, n_end)
     shared = spark.sparkContext.broadcast(s)
     marked = seen.select("block", "idx", "word").join(words, "word").mapInArrow(lambda b: _marked(b, shared.value), "block long, idx int, c long, symbol int")
-    payload = table.filter("payload IS NOT NULL").select("block", "n_words", "payload")
+    payload = table.filter("payload IS NOT NULL").select("block", "n_words", "words_digest", "payload")
     blocks = written(wb.rejoined(payload, marked, lambda d, w: _symbol_rows(shared.value, d, w), T.StructType([T.StructField("payload", T.BinaryType())])), "lm-symbols")
     tree = spark.sparkContext.broadcast(fit(blocks, s))
     return blocks.mapInArrow(lambda b: _scores((s.n, s.n_end), tree.value, b), SCORES)

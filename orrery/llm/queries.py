@@ -57,10 +57,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    grouped = fingerprint.exact_groups(docs).select(F.col("doc_id").alias("member"), "group_id", "n_copies").distinct()
-    digests = fingerprint.edited_digests(docs)
-    return digests.join(grouped, digests["doc_id"].eqNullSafe(grouped["member"])).drop("member")
+    return fingerprint.edited_with_groups(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_main_text, op4_language_id, op5_decontamination, op6_warc_derivatives, op7_lm_scores, op8_near_duplicates, op9_licenses, op10_fingerprints)}

@@ -1,7 +1,7 @@
 """Tables written between two passes, in the folder that all executors share.
 
-The folder is spark.checkpoint.dir of the session. Where that is unset (tests on one machine) a
-temporary folder is used. Files live as long as the session needs them; clear() removes them.
+The folder is spark.checkpoint.dir of the session. Where that is unset a local master uses a
+temporary folder, and any other is an error. Files live as long as the session needs them; clear() removes them.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not found:
         found = _own.setdefault(app, tempfile.mkdtemp(prefix="orrery-"))
         if spark.sparkContext.getCheckpointDir() is None:

@@ -17,6 +17,7 @@ not once per occurrence, and the most frequent word has as many rows as there ar
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import pickle
 import zlib
 from collections import defaultdict
@@ -31,11 +32,16 @@ from pyspark.sql import types as T
 
 BLOCK_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
-BUCKETS = 1024
+BUCKETS = 1024  # at least; eight for each shuffle partition, so that tasks can grow in number with the input
 
-PAYLOAD = T.StructType([T.StructField("block", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("payload", T.BinaryType())])
+PAYLOAD = T.StructType([T.StructField("block", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("words_digest", T.LongType()), T.StructField("payload", T.BinaryType())])
 WORDS = T.StructType([T.StructField("block", T.LongType()), T.StructField("idx", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("marked", T.LongType())])
-BOTH = T.StructType([*WORDS.fields, T.StructField("n_words", T.LongType()), T.StructField("payload", T.BinaryType())])
+BOTH = T.StructType([*WORDS.fields, T.StructField("n_words", T.LongType()), T.StructField("words_digest", T.LongType()), T.StructField("payload", T.BinaryType())])
+
+
+def words_digest(words: Iterable[bytes]) -> int:
+    """64 bits of a digest of the words in their order."""
+    return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
 
 
 def release() -> None:
@@ -132,36 +138,38 @@ def _block_rows(batches: Iterator[pa.RecordBatch], want: str, lower: bool, block
                 m = min(50_000, n - at)
                 rows = {"block": pa.array(np.full(m, block)), "idx": pa.array(np.arange(at, at + m, dtype=np.int32)), "word": words.slice(at, m), "marked": pa.array(per_word[at : at + m].astype(np.int64))}
                 if want == "both":
-                    rows |= {"n_words": pa.nulls(m, pa.int64()), "payload": pa.nulls(m, pa.binary())}
+                    rows |= {"n_words": pa.nulls(m, pa.int64()), "words_digest": pa.nulls(m, pa.int64()), "payload": pa.nulls(m, pa.binary())}
                 yield pa.RecordBatch.from_pydict(rows)
+        digest = words_digest(index)
         del index
         if want != "words":
             data = pack({"ids": table.column("doc_id").to_pylist(), "marks": marks.tobytes(), "lens": lens, "idx": idx})
-            rows = {"block": pa.array([block]), "n_words": pa.array([n]), "payload": pa.array([data], pa.binary())}
+            rows = {"block": pa.array([block]), "n_words": pa.array([n]), "words_digest": pa.array([digest]), "payload": pa.array([data], pa.binary())}
             if want == "both":
-                rows = {"block": rows["block"], "idx": pa.nulls(1, pa.int32()), "word": pa.nulls(1, pa.string()), "marked": pa.nulls(1, pa.int64()), "n_words": rows["n_words"], "payload": rows["payload"]}
+                rows = {"block": rows["block"], "idx": pa.nulls(1, pa.int32()), "word": pa.nulls(1, pa.string()), "marked": pa.nulls(1, pa.int64()), "n_words": rows["n_words"], "words_digest": rows["words_digest"], "payload": rows["payload"]}
             yield pa.RecordBatch.from_pydict(rows)
 
 
-def _packs(batches: Iterator[pa.RecordBatch], block_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+def _packs(batches: Iterator[pa.RecordBatch], block_bytes: int = BLOCK_BYTES, buckets: int = BUCKETS) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     task = (TaskContext.get().partitionId() + 1) << 24
     for seq, table in enumerate(runs(batches, block_bytes)):
         index = new_index()
         numbered(each(table.column("text")), index)
-        words = list(index)
-        bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % BUCKETS
+        words, digest = list(index), words_digest(index)
+        bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
         order = np.argsort(bucket, kind="stable")
         begins = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(words) else []
         packs = [pack({"idx": part, "words": b" ".join(map(words.__getitem__, part.tolist()))}) for part in np.split(order, begins[1:])] if len(words) else []
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[order][begins] if len(words) else [], pa.int32()), "block": pa.array(np.full(len(packs), task + seq)), "pack": pa.array(packs, pa.binary())})
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[order][begins] if len(words) else [], pa.int32()), "block": pa.array(np.full(len(packs), task + seq)), "words_digest": pa.array(np.full(len(packs), digest)), "pack": pa.array(packs, pa.binary())})
 
 
 def word_packs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """bucket, block, pack: the block's distinct words of one of BUCKETS hash buckets, with their numbers, in one row."""
+    """bucket, block, words_digest, pack: the block's distinct words of one of the hash buckets, with their numbers, in one row."""
+    buckets = max(BUCKETS, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return small_batches(chosen).mapInArrow(lambda b: lean(_packs(b, block_bytes)), "bucket int, block long, pack binary")
+    return small_batches(chosen).mapInArrow(lambda b: lean(_packs(b, block_bytes, buckets)), "bucket int, block long, words_digest long, pack binary")
 
 
 def _rows(docs: DataFrame, want: str, mark: Column | None, id_col: str, text_col: str, lower: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -170,7 +178,7 @@ def _rows(docs: DataFrame, want: str, mark: Column | None, id_col: str, text_col
 
 
 def payloads(docs: DataFrame, mark: Column | None = None, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block, n_words, payload. Reading docs again gives the same blocks as long as its partitions are those of files or of a written table."""
+    """block, n_words, words_digest, payload. Reading docs again gives the same blocks as long as its partitions are those of files or of a written table."""
     return _rows(docs, "payload", mark, id_col, text_col, block_bytes=block_bytes)
 
 
@@ -188,16 +196,20 @@ def rejoined(payload: DataFrame, words: DataFrame, per_block: Callable, schema:
     """per_block(rows of the payload, table of the block's words in order of idx) for each block.
 
     restore makes that table, with a column idx, of the rows that came back where they aren't it already.
-    A block whose words don't come back whole, because docs was read in other partitions the second
-    time, is an error and never a wrong result.
+    Where docs is read twice, the words carry the digest of their block's words in order, and so does
+    the payload: a block that was read in other partitions or in another order the second time is an
+    error and never a wrong result.
     """
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
+        digests = set(right.column("words_digest").unique().to_pylist()) if "words_digest" in right.column_names else set()
         right = restore(right) if restore else right
         if not left.num_rows:
             raise RuntimeError("words came back of a block that isn't there: its documents were read in another order")
-        for n, data in zip(left.column("n_words").to_pylist(), left.column("payload").to_pylist(), strict=True):
+        for n, digest, data in zip(*(left.column(k).to_pylist() for k in ("n_words", "words_digest", "payload")), strict=True):
+            if digests - {digest}:
+                raise RuntimeError("a block's words came back of other documents: they were read in another order")
             right = right.sort_by("idx").combine_chunks()
             if right.num_rows != n or (n and right.column("idx")[-1].as_py() != n - 1):
                 raise RuntimeError(f"a block has {n} words, and {right.num_rows} came back: its documents were read in another order")
@@ -205,5 +217,5 @@ def rejoined(payload: DataFrame, words: DataFrame, per_block: Callable, schema:
         release()
         return pa.concat_tables(out)
 
-    own = payload.select(F.col("block").alias("own_block"), "n_words", "payload")
+    own = payload.select(F.col("block").alias("own_block"), "n_words", "words_digest", "payload")
     return own.groupBy("own_block").cogroup(words.groupBy("block")).applyInArrow(joined, schema)

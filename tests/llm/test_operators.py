@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orrery.llm import bpe, decontaminate, fingerprint, html, langid, license, lm, neardup, queries, tokencount, warc
+from orrery.llm import bpe, decontaminate, fingerprint, html, langid, license, lm, neardup, queries, tokencount, warc, wordblocks
 from orrery.llm.components import components
 
 EN = "the cat sat on the mat and looked at the old dog by the door while it rained all over the small town near the river"
@@ -62,6 +62,29 @@ def test_bpe(docs, none, small, vocabulary):
         assert r.decoded == t.decode(t.encode(text[r.doc_id], add_special_tokens=False).ids, skip_special_tokens=False)
 
 
+def test_blocks_in_another_order(spark):
+    """The same block read with its documents in another order is an error, even where the counts agree."""
+    rows = [(1, "a a b"), (2, "c d")]
+    there, back = (spark.createDataFrame(r, "doc_id long, text string").coalesce(1) for r in (rows, rows[::-1]))
+    ids = bpe.word_ids(wordblocks.word_packs(back), bpe.vocabulary_of())
+    schema = "doc_id long, n_tokens long, ids array<int>"
+    from pyspark.sql.types import _parse_datatype_string
+
+    with pytest.raises(Exception, match="another order"):
+        wordblocks.rejoined(wordblocks.payloads(there), ids, bpe._ids, _parse_datatype_string(schema), bpe._restored).collect()
+
+
+def test_fingerprint_rows(spark, monkeypatch):
+    """A row per document with its own group, whatever its id; also where different texts share a fingerprint."""
+    rows = [(1, "a b c"), (2, "A  b c"), (2, "other words"), (2, "other words"), (None, "a b c"), (None, "q r s"), (None, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"canon": F.lit(1), "group_id": F.lit("g"), "n_copies": F.lit(2)})
+    want = collections.Counter([(1, 1, 3), (2, 1, 3), (None, 1, 3), (2, 2, 2), (2, 2, 2), (None, None, 1), (None, 3, 2), (3, 3, 2)])
+    got = fingerprint.edited_with_groups(docs)
+    assert collections.Counter((r.doc_id, r.group_id, r.n_copies) for r in got.collect()) == want and fingerprint.edited_with_groups(docs.limit(0)).count() == 0
+    monkeypatch.setattr(fingerprint, "hashed", lambda canon: F.lit("same"))
+    assert collections.Counter((r.doc_id, r.group_id, r.n_copies) for r in fingerprint.edited_with_groups(docs).collect()) == want
+
+
 def test_token_counts(docs, none, small, vocabulary):
     t = bpe.tokenizer(vocabulary)
     n = lambda s: len(t.encode(s, add_special_tokens=False).ids)
