@@ -120,6 +120,39 @@ def test_main_text(spark):
         assert html.main_text(r.html) == "\n\n".join(p for p in parts if p)
 
 
+PROSE = " ".join(["The quick brown fox jumps over the lazy dog and runs away from the old farm near the river bank."] * 3)
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<nav><a href="/">Home</a></nav><div class="overflow-hidden"><article><h1>A title</h1><p>{PROSE}</p></article></div>', ["A title", PROSE]),
+    (f'<main aria-hidden="false"><p>{PROSE}</p></main>', [PROSE]),
+    (f'<article><div class="elementor-widget-container"><p>{PROSE}</p><p>{PROSE}</p></div></article>', [PROSE, PROSE]),
+    (f'<div class="layout sidebar-right"><div><h1>A title</h1><p>{PROSE}</p><p>{PROSE}</p></div></div>', ["A title", PROSE, PROSE]),
+    (f'<article title="a &quot; b><p>{PROSE}</p><p class="x">{PROSE}</p></article>', [PROSE, PROSE]),
+    (f'<form id="aspnet"><div><a href="/">Home</a></div><div><h1>A title</h1><p>{PROSE}</p><p>{PROSE}</p></div></form>', ["A title", PROSE, PROSE]),
+    (f'<ul><li><a href="/">Home</a><li><a href="/b">B</a></ul><h1>A title</h1><p>{PROSE}<p>{PROSE}<p><a href="/n">More of this</a>', ["A title", PROSE, PROSE]),
+    (f'<article><p>{PROSE}</p><p hidden>{PROSE}</p><div style="display: none"><p>{PROSE}</p></div></article>', [PROSE]),
+    (f'<div class="menu"><p>Home</p></div><div class="post"><p>{PROSE}</p><p>{PROSE}</p></div><div id="comments"><p>{PROSE}</p><p>I like it</p></div>', [PROSE, PROSE]),
+])
+def test_main_text_of_varied_markup(page, want):
+    assert html.main_text(page) == "\n\n".join(want)
+
+
+def test_tree_uses_link_density():
+    used = set()
+
+    def walk(node):
+        if isinstance(node, tuple):
+            used.add(node[0])
+            walk(node[2])
+            walk(node[3])
+
+    walk(html.tree())
+    assert 1 in used and used & {8, 10} and used & {0, 7, 9}  # own, neighbours' density, words
+    x, y = html.labelled_rows(html.LABELLED, [(2, 1), (0.7, 0.8)])  # sizes that weren't trained on
+    assert np.mean([html.is_content(r, html.tree()) == bool(c) for r, c in zip(x, y)]) > 0.93
+
+
 def test_language_id(docs, none, spark):
     rows = {r.doc_id: r for r in langid.identify(docs).collect() if r.doc_id is not None}
     assert rows[3].lang_pred == rows[4].lang_pred == rows[5].lang_pred == rows[10].lang_pred == "und" and rows[3].score == 0
