@@ -1,7 +1,7 @@
 """Language identification by cross-parsing: the language whose reference text needs the fewest normalised phrases wins.
 
-Each language of the labelled rows has a reference: PER_DOC symbols from each of DOCS documents, those
-of the least hashes of their ids. A suffix automaton of the reference follows a text symbol by
+Each language of the labelled rows has a reference: the whole texts of a bounded sample of its rows,
+REFERENCE symbols in all (less, if TOTAL symbols are shared by many languages). A suffix automaton of the reference follows a text symbol by
 symbol for as long as what it has read occurs in the reference; where it can't go on, a phrase ends
 and it starts anew. The score of a language is phrases * log2(reference length) / symbols, an
 estimate of the cross entropy in bits per symbol.
@@ -11,7 +11,8 @@ of their Unicode block), and one separator for each run of anything else. Whole
 segments of SEGMENT symbols that run side by side in arrays, which adds one phrase end a segment for
 every language alike.
 
-The model has DOCS * PER_DOC symbols a language, however large the corpus; it is what is broadcast.
+The model has TOTAL symbols at most, of 512 bytes each, however large the corpus and however many
+languages; it is what is broadcast. Rows of more than REFERENCE code points don't train.
 
 Defined results: `und` with score 0 if the text is null or has no letters, or if there is no labelled
 row. With one language its score is 1. Ties go to the first language in order of names. Null
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import wordblocks as wb
 
-DOCS, PER_DOC, SEGMENT = 32, 640, 256
+DOCS, ROW, REFERENCE, TOTAL, SEGMENT = 256, 1000, 20_480, 327_680, 256
 UNKNOWN = "und"
 _OWN, _SYMBOLS, _WIDTH = 44, 64, 6
 _PAD, _GAP, _FIRST = 0, 1, 2
@@ -156,27 +157,30 @@ def _predicted(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
 
 
 def references(docs: DataFrame, held_out, id_col: str, text_col: str, lang_col: str) -> dict[str, list[str]]:
-    """The texts that train: DOCS for each language, cut to what PER_DOC symbols can need; nothing else reaches the driver."""
-    usable = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).filter(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("lang", "doc_id").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= DOCS).select("doc_id").distinct().collect()
+    """The texts that train, by language; nothing else reaches the driver.
+
+    Of each language the first DOCS rows of REFERENCE code points at most, short ones (ROW) before long
+    ones, in order of their ids' hashes; of these, whole texts as long as the reference has room.
+    """
+    usable = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).filter(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length(F.col("text")) <= REFERENCE))
+    order = [F.length("text") > ROW, F.xxhash64("doc_id"), "doc_id"]
+    first = Window.partitionBy("lang").orderBy("long", "hash", "doc_id")
+    keyed = usable.select("lang", "doc_id", order[0].alias("long"), order[1].alias("hash"))
+    ids = keyed.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= DOCS).select("doc_id").distinct().collect()
     chosen = F.col("doc_id").isin([r.doc_id for r in ids if r.doc_id is not None]) | (F.col("doc_id").isNull() if any(r.doc_id is None for r in ids) else F.lit(False))
-    text = F.substring("text", 1, 4 * PER_DOC)
-    rows = usable.filter(chosen).select("lang", "doc_id", text.alias("text")).withColumn("k", F.row_number().over(first.orderBy(F.xxhash64("doc_id"), "doc_id", "text"))).filter(F.col("k") <= DOCS).collect()
-    found: dict[str, list[str]] = {}
+    rows = usable.filter(chosen).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "text"))).filter(F.col("k") <= DOCS).collect()
+    listed: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.k)):
-        found.setdefault(r.lang, []).append(r.text)
-    table = symbol_table(found)
-    return {lang: [cut for t in texts if (cut := _cut(t, table))] for lang, texts in found.items()}
-
-
-def _cut(text: str, table: np.ndarray) -> str:
-    """The longest start of the text that has PER_DOC symbols at most."""
-    low, high = 0, len(text)
-    while low < high:
-        mid = (low + high + 1) // 2
-        low, high = (mid, high) if len(to_symbols(text[:mid], table)) <= PER_DOC else (low, mid - 1)
-    return text[:low]
+        listed.setdefault(r.lang, []).append(r.text)
+    table, room = symbol_table(listed), min(REFERENCE, TOTAL // max(1, len(listed)))
+    found: dict[str, list[str]] = {}
+    for lang, texts in listed.items():
+        left, own = room, found.setdefault(lang, [])
+        for text in texts:
+            if (n := len(to_symbols(text, table))) <= left:
+                own.append(text)
+                left -= n
+    return found
 
 
 def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -2,23 +2,25 @@
 
 Tokens are the words of a text (A-Z in lower case, split at ASCII white space) and one end.
 
-Symbols. A word that makes up SYMBOL_MIN of the training tokens is a symbol of its own, and so is the
-end; other words, known or not, share the symbol of their last two bytes if that makes up SYMBOL_MIN,
-and one last symbol otherwise. So there are 2 / SYMBOL_MIN + 2 symbols at most, whatever the corpus.
-P(token | before) = P(symbol | before) * P(token | symbol). Within a shared symbol of count C and V
-training words, a known word of count c has (c - 0.5) / C, and all unknown words together, one event
-as in the base model, have 0.5 * V / C.
-
-Tree. Contexts are the one or two symbols before a token (an end stands before the first), if they
-make up CONTEXT_MIN of the training tokens. A context is retained if its next-symbol distribution
-diverges from that of its retained suffix: the training tokens after it gain DIVERGENCE nats or more
-per next symbol it stores. It stores next symbols that make up PAIR_MIN of all training tokens; what
-is left of its count, and one for each stored symbol, goes to its suffix's distribution. Scoring uses
-the longest retained suffix. All tables that reach the driver are so bounded by parameters:
-2 / SYMBOL_MIN + 2 symbols, 1 / CONTEXT_MIN contexts and 1 / PAIR_MIN pairs per length.
+Symbols. A word that occurs SYMBOL times in training is a symbol of its own, and so is the end; other
+words, known or not, share the symbol of their last two bytes if that occurs as often, and one last
+symbol otherwise. P(token | before) = P(symbol | before) * P(token | symbol). Within a shared symbol of
+count C and V training words, a known word of count c has (c - 0.5) / C, and all unknown words together,
+one event as in the base model, have 0.5 * V / C.
+
+Tree. Contexts are the one to DEPTH symbols before a token (an end stands before the first), if they
+occur CONTEXT times. A context is retained if its next-symbol distribution diverges from that of its
+longest retained suffix: the training tokens after it gain DIVERGENCE nats or more per next symbol it
+stores. It stores next symbols that occur PAIR times after it; what is left of its count, and one for
+each stored symbol, goes to its suffix's distribution. Scoring uses the longest retained suffix.
+
+Size. SYMBOL, CONTEXT and PAIR are factors of n ** (2/3), n the training tokens. So the model grows
+with the corpus, as n ** (1/3): n / (CONTEXT * n ** (2/3)) contexts and n / (PAIR * n ** (2/3)) pairs of
+each length at most, of 16 bytes: 10 MB a length at 1e8 tokens, 0.5 GB at 1.6e13 (100 TB). That is what
+the driver holds and what is broadcast.
 
 Counts come from all training documents: words by the distinct words of blocks (see wordblocks),
-symbol pairs and triples by blocks of symbols.
+contexts and what follows them by blocks of symbols, one length after the other.
 
 Defined results: null and empty texts are the end alone. A null doc_id is never held out. Without
 training documents N and V are 0, base_score is 0 per token, and every symbol is equally likely.
@@ -26,6 +28,7 @@ training documents N and V are 0, base_score is 0 per token, and every symbol is
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,10 +40,10 @@ from pyspark.sql import types as T
 from . import wordblocks as wb
 from .scratch import written
 
-SYMBOL_MIN = 2e-4
-CONTEXT_MIN = 1e-4
-PAIR_MIN = 2e-6
+SYMBOL, CONTEXT, PAIR = 0.08, 0.04, 0.0008
+DEPTH = 4
 DIVERGENCE = 1.0
+BLOCK_BYTES = 8 << 20
 DISCOUNT = 0.5
 
 SCORES = T.StructType([T.StructField(k, t) for k, t in (("doc_id", T.LongType()), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))])
@@ -64,18 +67,23 @@ class Symbols:
     n_end: int
 
 
+def least(factor: float, n: int, floor: int = 2) -> int:
+    """The least count that factor stands for among n training tokens."""
+    return max(floor, math.ceil(factor * n ** (2 / 3)))
+
+
 def ending(word: Column) -> Column:
     """The last two bytes as text of hexadecimal digits."""
     return F.hex(F.substring(word.cast("binary"), -2, 2))
 
 
 def symbols(words: DataFrame, n_end: int) -> Symbols:
-    """words: word, c, end (of the word). Endings and frequent words reach the driver only if they make up SYMBOL_MIN."""
+    """words: word, c, end (of the word). Only endings and words that are symbols reach the driver."""
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     n, v = n + n_end, v + (n_end > 0)
-    least = max(1, SYMBOL_MIN * n)
-    own = {r.word: r.c for r in words.filter(F.col("c") >= least).select("word", "c").collect()}
-    rest = words.filter((F.col("c") > 0) & (F.col("c") < least)).groupBy("end").agg(F.sum("c").alias("c"), F.count("*").alias("k")).filter(F.col("c") >= least).collect()
+    often = least(SYMBOL, n, 1)
+    own = {r.word: r.c for r in words.filter(F.col("c") >= often).select("word", "c").collect()}
+    rest = words.filter((F.col("c") > 0) & (F.col("c") < often)).groupBy("end").agg(F.sum("c").alias("c"), F.count("*").alias("k")).filter(F.col("c") >= often).collect()
     count, kinds = [n_end, 0], [0, 0]
     own_no, end_no = {}, {}
     for word in sorted(own):
@@ -126,65 +134,83 @@ def _symbol_rows(s: Symbols, docs: dict, rows: pa.Table) -> pa.Table:
     return pa.table({"payload": pa.array([wb.pack(held)], pa.binary())})
 
 
-def _read(data: bytes) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
-    """The block, its symbols, and the first and second symbol before each; -1 where the text hasn't begun (the end stands one before)."""
+@dataclass
+class Levels:
+    """The contexts of each length. The contexts of length k + 1 are keys[k - 1], sorted: number of the k older symbols * size + the newest."""
+
+    size: int
+    keys: list[np.ndarray]
+
+    def numbers(self, sym: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+        """The number of the context of each length before each token, -1 where there is none. first: whether a document begins here."""
+        before = np.r_[0, sym[:-1]][: len(sym)]
+        before[first] = 0
+        out = [before]
+        for keys in self.keys:
+            older = np.r_[-1, out[-1][:-1]][: len(sym)]
+            older[first] = -1
+            out.append(found(keys, np.where(older >= 0, older * self.size + before, -1)))
+        return out
+
+
+def found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted number among the sorted keys, -1 where it isn't one."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def _read(data: bytes) -> tuple[dict, np.ndarray, np.ndarray]:
+    """The block, its symbols, and where documents begin."""
     docs = wb.unpack(data, ("lens", "symbols"))
-    sym = docs["symbols"]
-    one, two = np.r_[0, sym[:-1]][: len(sym)], np.r_[0, 0, sym[:-2]][: len(sym)]
-    begins = np.cumsum(docs["lens"]) - docs["lens"]
-    one[begins], two[begins] = 0, -1
-    later = (begins + 1)[docs["lens"] > 1]
-    two[later] = 0
-    return docs, sym, one, two
+    first = np.zeros(len(docs["symbols"]), bool)
+    first[np.cumsum(docs["lens"]) - docs["lens"]] = True
+    return docs, docs["symbols"], first
 
 
-def _counted(batches: Iterator[pa.RecordBatch], contexts: np.ndarray | None, size: int) -> Iterator[pa.RecordBatch]:
-    """Counts of (context, next symbol) in the training documents; contexts: of two symbols, or None for those of one."""
+def _counted(batches: Iterator[pa.RecordBatch], levels: Levels) -> Iterator[pa.RecordBatch]:
+    """Counts of (context of the greatest length, next symbol) in the training documents."""
     for batch in batches:
         for data in batch.column("payload").to_pylist():
-            docs, sym, one, two = _read(data)
-            use = np.repeat(np.frombuffer(docs["marks"], bool), docs["lens"])
-            if contexts is None:
-                ctx = one
-            else:
-                ctx = two * size + one
-                use &= (two >= 0) & np.isin(ctx, contexts)
-            keys, n = np.unique(ctx[use] * size + sym[use], return_counts=True)
+            docs, sym, first = _read(data)
+            ctx = levels.numbers(sym, first)[-1]
+            use = np.repeat(np.frombuffer(docs["marks"], bool), docs["lens"]) & (ctx >= 0)
+            keys, n = np.unique(ctx[use] * levels.size + sym[use], return_counts=True)
             yield pa.RecordBatch.from_pydict({"pair": pa.array(keys.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
 
-def _pairs(blocks: DataFrame, contexts: np.ndarray | None, s: Symbols) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that make up PAIR_MIN of the training tokens: 1 / PAIR_MIN at most."""
-    size = len(s.count)
-    shared = blocks.sparkSession.sparkContext.broadcast(contexts)
-    rows = blocks.mapInArrow(lambda b: _counted(b, shared.value, size), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(1, PAIR_MIN * s.n)).toArrow().sort_by("pair")
+def _pairs(blocks: DataFrame, levels: Levels, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that occur PAIR times, sorted, and their counts."""
+    shared = blocks.sparkSession.sparkContext.broadcast(levels)
+    rows = blocks.mapInArrow(lambda b: wb.lean(_counted(b, shared.value)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least(PAIR, n, 1)).toArrow().sort_by("pair")
     return tuple(np.asarray(rows.column(k).to_numpy(), np.int64) for k in ("pair", "n"))
 
 
 class Tree:
-    """State 0 is the root. A state has its context, its parent, and the weight that goes to the parent; stored pairs have their whole probability."""
+    """State 0 is the root. A state has its parent, and the weight that goes to the parent; stored pairs have their whole probability.
+
+    own[k] gives the state of each context of length k + 1, 0 where it isn't retained, and total[k] its count.
+    """
 
     def __init__(self, s: Symbols):
         self.size = len(s.count)
         self.root = (s.count + 0.5) / (s.count + 0.5).sum()
-        self.context, self.state = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.levels = Levels(self.size, [])
+        self.own = [np.zeros(self.size, np.int64)]
+        self.total = [s.count]
+        self.shorter: list[np.ndarray] = [np.full(self.size, -1)]  # the context without its oldest symbol
         self.parent, self.weight = np.zeros(1, np.int64), np.ones(1)
         self.pair, self.p = np.zeros(0, np.int64), np.zeros(0)
 
-    def states(self, one: np.ndarray, two: np.ndarray | None) -> np.ndarray:
-        """The longest retained suffix; contexts of two symbols are numbered from size * size on."""
-        out = self._find(one)
-        if two is not None:
-            longer = self._find(np.where(two >= 0, (two + self.size) * self.size + one, -1))
-            out = np.where(longer > 0, longer, out)
+    def states(self, numbers: list[np.ndarray]) -> np.ndarray:
+        """The longest retained suffix."""
+        out = np.zeros(len(numbers[0]), np.int64)
+        for own, ctx in zip(self.own, numbers, strict=True):
+            state = np.where(ctx >= 0, own[ctx], 0) if len(own) else np.zeros(len(ctx), np.int64)
+            out = np.where(state > 0, state, out)
         return out
 
-    def _find(self, key: np.ndarray) -> np.ndarray:
-        if not len(self.context):
-            return np.zeros(len(key), np.int64)
-        at = np.minimum(np.searchsorted(self.context, key), len(self.context) - 1)
-        return np.where(self.context[at] == key, self.state[at], 0)
-
     def probability(self, state: np.ndarray, sym: np.ndarray) -> np.ndarray:
         out, open_, weight = np.zeros(len(sym)), np.arange(len(sym)), np.ones(len(sym))
         while len(open_):
@@ -200,41 +226,63 @@ class Tree:
             open_, sym, weight, state = (x[~hit] for x in (open_, sym, weight * self.weight[state], self.parent[state]))
         return out
 
-    def grow(self, ctx: np.ndarray, total: dict[int, float], sym: np.ndarray, n: np.ndarray, two: bool) -> None:
-        """Adds the contexts that pass the divergence test. Rows are sorted by context."""
+    def longest(self, ctx: int) -> int:
+        """The longest retained proper suffix of a context of the greatest length."""
+        for k in range(len(self.own) - 1, 0, -1):
+            ctx = self.shorter[k][ctx]
+            if ctx < 0:
+                return 0
+            if self.own[k - 1][ctx]:
+                return int(self.own[k - 1][ctx])
+        return 0
+
+    def grow(self, ctx: np.ndarray, sym: np.ndarray, n: np.ndarray) -> None:
+        """Retains contexts of the greatest length that pass the divergence test. Rows are sorted by context."""
         if not len(ctx):
             return
         starts = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]])
-        context, pair, p = [], [], []
-        parents = self.states(ctx[starts] % self.size, None)
-        for a, b, parent in zip(starts, np.r_[starts[1:], len(ctx)], parents, strict=True):
-            count, kinds = total[int(ctx[a])], b - a
+        pair, p, parents, weights = [], [], [], []
+        for a, b in zip(starts, np.r_[starts[1:], len(ctx)], strict=True):
+            c, kinds, parent = int(ctx[a]), b - a, self.longest(int(ctx[a]))
+            count = self.total[-1][c]
             own = n[a:b] / (count + kinds)
             left = 1 - own.sum()
             below = self.probability(np.full(kinds, parent), sym[a:b])
             gain = (n[a:b] * np.log((own + left * below) / below)).sum() + (count - n[a:b].sum()) * np.log(left)
             if gain >= DIVERGENCE * kinds:
-                context.append((int(ctx[a]) + self.size * self.size if two else int(ctx[a]), len(self.parent) + len(context), parent, left))
-                pair.append((len(self.parent) + len(context) - 1) * self.size + sym[a:b])
+                self.own[-1][c] = len(self.parent) + len(parents)
+                pair.append(self.own[-1][c] * self.size + sym[a:b])
                 p.append(own + left * below)
-        if context:
-            key, state, parent, left = (np.array(x) for x in zip(*context, strict=True))
-            order = np.argsort(np.r_[self.context, key])
-            self.context, self.state = np.r_[self.context, key][order], np.r_[self.state, state][order]
-            self.parent, self.weight = np.r_[self.parent, parent], np.r_[self.weight, left]
+                parents.append(parent)
+                weights.append(left)
+        if parents:
+            self.parent, self.weight = np.r_[self.parent, parents], np.r_[self.weight, weights]
             self.pair, self.p = np.r_[self.pair, *pair], np.r_[self.p, *p]
 
+    def deepen(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Adds the contexts of the next length: keys, and how often they occur."""
+        older, newest = keys // self.size, keys % self.size
+        if len(self.own) == 1:
+            shorter = newest
+        else:
+            short = self.shorter[-1][older]
+            shorter = found(self.levels.keys[-1], np.where(short >= 0, short * self.size + newest, -1))
+        self.levels = Levels(self.size, [*self.levels.keys, keys])
+        self.own.append(np.zeros(len(keys), np.int64))
+        self.total.append(counts.astype(np.float64))
+        self.shorter.append(shorter)
+
 
 def fit(blocks: DataFrame, s: Symbols) -> Tree:
-    tree, size = Tree(s), len(s.count)
-    pair, n = _pairs(blocks, None, s)
-    often = s.count >= max(2, CONTEXT_MIN * s.n)
-    keep = often[pair // size] if len(pair) else np.zeros(0, bool)
-    tree.grow(pair[keep] // size, dict(enumerate(s.count.tolist())), pair[keep] % size, n[keep], two=False)
-    two = {int(k): float(c) for k, c in zip(pair, n, strict=True) if c >= max(2, CONTEXT_MIN * s.n) and k % size}  # after an end nothing follows
-    if two:
-        triple, n3 = _pairs(blocks, np.array(sorted(two), np.int64), s)
-        tree.grow(triple // size, two, triple % size, n3, two=True)
+    tree, size, often = Tree(s), len(s.count), least(CONTEXT, s.n)
+    for depth in range(1, DEPTH + 1):
+        pair, n = _pairs(blocks, tree.levels, s.n)
+        keep = tree.total[-1][pair // size] >= often if len(pair) else np.zeros(0, bool)
+        tree.grow(pair[keep] // size, pair[keep] % size, n[keep])
+        deeper = (n >= often) & (pair % size != 0)  # after an end nothing follows
+        if depth == DEPTH or not deeper.any():
+            return tree
+        tree.deepen(pair[deeper], n[deeper])
     return tree
 
 
@@ -242,8 +290,9 @@ def _scores(s: tuple[int, int], tree: Tree, batches: Iterator[pa.RecordBatch]) -
     n, n_end = s
     for batch in batches:
         for data in batch.column("payload").to_pylist():
-            docs, sym, one, two = _read(data)
-            p = np.concatenate([tree.probability(tree.states(one[a : a + 500_000], two[a : a + 500_000]), sym[a : a + 500_000]) for a in range(0, len(sym), 500_000)])
+            docs, sym, first = _read(data)
+            state = tree.states(tree.levels.numbers(sym, first))
+            p = np.concatenate([tree.probability(state[a : a + 500_000], sym[a : a + 500_000]) for a in range(0, len(sym), 500_000)])
             base, inside, known = (np.frombuffer(docs[k], np.float64) for k in ("base", "inside", "known"))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(docs["ids"], pa.int64()), "held_out": pa.array(~np.frombuffer(docs["marks"], bool)), "n_tokens": pa.array(docs["lens"]), "n_known": pa.array((known + (n_end > 0)).astype(np.int64)),
@@ -254,7 +303,7 @@ def _scores(s: tuple[int, int], tree: Tree, batches: Iterator[pa.RecordBatch]) -
 def score(docs: DataFrame, modulus: int = 5, remainder: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; learns from those that aren't held out."""
     spark = docs.sparkSession
-    table = written(wb.both(docs, ~held_out(docs[id_col], modulus, remainder), id_col, text_col, lower=True), "lm-blocks")
+    table = written(wb.both(docs, ~held_out(docs[id_col], modulus, remainder), id_col, text_col, lower=True, block_bytes=BLOCK_BYTES), "lm-blocks")
     seen = table.filter("payload IS NULL").select("block", "idx", "word", "marked")
     words = written(seen.groupBy("word").agg(F.sum("marked").alias("c")).withColumn("end", ending(F.col("word"))), "lm-words")
     n_end = docs.select(F.count(F.when(~held_out(docs[id_col], modulus, remainder), 1))).first()[0]
@@ -264,4 +313,4 @@ def score(docs: DataFrame, modulus: int = 5, remainder: int = 1, id_col: str = "
     payload = table.filter("payload IS NOT NULL").select("block", "n_words", "words_digest", "payload")
     blocks = written(wb.rejoined(payload, marked, lambda d, w: _symbol_rows(shared.value, d, w), T.StructType([T.StructField("payload", T.BinaryType())])), "lm-symbols")
     tree = spark.sparkContext.broadcast(fit(blocks, s))
-    return blocks.mapInArrow(lambda b: _scores((s.n, s.n_end), tree.value, b), SCORES)
+    return blocks.mapInArrow(lambda b: wb.lean(_scores((s.n, s.n_end), tree.value, b)), SCORES)

@@ -187,9 +187,9 @@ def block_words(docs: DataFrame, mark: Column | None = None, id_col: str = "doc_
     return _rows(docs, "words", mark, id_col, text_col)
 
 
-def both(docs: DataFrame, mark: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lower: bool = False) -> DataFrame:
+def both(docs: DataFrame, mark: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lower: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """payloads() and block_words() in one pass; rows of either kind leave the other's columns null."""
-    return _rows(docs, "both", mark, id_col, text_col, lower)
+    return _rows(docs, "both", mark, id_col, text_col, lower, block_bytes)
 
 
 def rejoined(payload: DataFrame, words: DataFrame, per_block: Callable, schema: T.StructType, restore: Callable | None = None) -> DataFrame:

@@ -262,13 +262,95 @@ def test_lm(docs, none, spark):
 def test_lm_is_a_distribution():
     s = lm.Symbols({}, {}, np.array([3.0, 5, 9, 4]), np.array([0.0, 1, 0, 0]), 21, 4, 3)
     tree = lm.Tree(s)
-    tree.grow(np.array([2, 2, 3]), {2: 9.0, 3: 4.0}, np.array([0, 3, 2]), np.array([2, 7, 4]), two=False)
-    tree.grow(np.array([3 * 4 + 2]), {3 * 4 + 2: 4.0}, np.array([1]), np.array([4]), two=True)
-    assert len(tree.parent) == 4
+    tree.grow(np.array([2, 2, 3]), np.array([0, 3, 2]), np.array([2, 7, 4]))
+    tree.deepen(np.array([2 * 4 + 3, 3 * 4 + 2]), np.array([7, 4]))
+    tree.grow(np.array([1]), np.array([1]), np.array([4]))
+    assert len(tree.parent) == 4 and tree.parent[3] == tree.own[0][2]
     for state in range(4):
         assert tree.probability(np.full(4, state), np.arange(4)).sum() == pytest.approx(1)
 
 
+def brute_lm(source):
+    """log10 of each text's probability by the model's definition, on tuples of symbols. source: (words, trains)."""
+    words = collections.Counter(w for ws, trains in source if trains for w in ws)
+    n_end = sum(trains for _, trains in source)
+    n = sum(words.values()) + n_end
+    often, frequent, stored = (max(low, math.ceil(f * n ** (2 / 3))) for f, low in ((lm.SYMBOL, 1), (lm.CONTEXT, 2), (lm.PAIR, 1)))
+    rare = collections.Counter()
+    for w, c in words.items():
+        if c < often:
+            rare[w[-2:]] += c
+
+    def symbol(w):
+        return ("word", w) if words[w] >= often else ("end of word", w[-2:]) if rare[w[-2:]] >= often else ("other",)
+
+    texts = [([symbol(w) for w in ws] + [("end",)], trains) for ws, trains in source]
+    count, kinds = collections.Counter({("other",): 0, ("end",): 0}), collections.Counter()
+    for xs, trains in texts:
+        count.update(xs if trains else [])
+    for w in words:
+        kinds[symbol(w)] += words[w] > 0
+    after = collections.defaultdict(collections.Counter)
+    for xs, trains in texts:
+        for k, x in enumerate(xs if trains else []):
+            before = [("end",), *xs[:k]]
+            for d in range(1, min(lm.DEPTH, len(before)) + 1):
+                after[tuple(before[-d:])][x] += 1
+    all_ = sum(c + 0.5 for c in count.values())
+    state = {}
+
+    def probability(ctx, x):
+        while ctx and ctx not in state:
+            ctx = ctx[1:]
+        if not ctx:
+            return (count[x] + 0.5) / all_
+        own, left = state[ctx]
+        return own.get(x, 0.0) + left * probability(ctx[1:], x)
+
+    total = lambda ctx: count[ctx[0]] if len(ctx) == 1 else after[ctx[:-1]][ctx[-1]]
+    for ctx in sorted(after, key=len):
+        held = {x: c for x, c in after[ctx].items() if c >= stored}
+        if total(ctx) < frequent or not held or any(total(ctx[:k]) < frequent for k in range(1, len(ctx))):
+            continue
+        size = total(ctx) + len(held)
+        own = {x: c / size for x, c in held.items()}
+        left = 1 - sum(own.values())
+        gain = sum(c * math.log((own[x] + left * probability(ctx[1:], x)) / probability(ctx[1:], x)) for x, c in held.items()) + (total(ctx) - sum(held.values())) * math.log(left)
+        if gain >= lm.DIVERGENCE * len(held):
+            state[ctx] = own, left
+    out = []
+    for (ws, _), (xs, _) in zip(source, texts):
+        score = 0.0
+        for k, x in enumerate(xs):
+            score += math.log10(probability(tuple([("end",), *xs[:k]][-lm.DEPTH :]), x))
+            if x[0] in ("end of word", "other") and count[x]:
+                c = words[ws[k]]
+                score += math.log10(max(c - 0.5, 0.5) / count[x] if c else 0.5 * kinds[x] / count[x])
+        out.append(score)
+    return out, state
+
+
+@pytest.mark.parametrize("symbol", [0.08, 0.01])
+def test_lm_score_against_brute_force(spark, small, monkeypatch, symbol):
+    monkeypatch.setattr(lm, "SYMBOL", symbol)
+    monkeypatch.setattr(lm, "CONTEXT", 0.003)
+    rng = np.random.default_rng(2)
+    chain = " ".join(f"a{k % 3} b{(k * k) % 5}" for k in range(900))
+    rows = [(r.doc_id, r.text) for r in small.collect()] + [(10_000 + k, " ".join(chain.split()[k : k + 60])) for k in range(50)] + [(20_000, None), (20_001, "unseen wörds")]
+    test = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    want, state = brute_lm([((t or "").encode().lower().split(), not test(i)) for i, t in rows])
+    assert max(map(len, state)) >= 3
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == pytest.approx(w, rel=1e-9, abs=1e-6) for (i, _), w in zip(rows, want, strict=True))
+
+
+def test_lm_grows_with_the_corpus():
+    """Bounds on symbols, contexts and pairs rise with the training tokens."""
+    for factor in (lm.SYMBOL, lm.CONTEXT, lm.PAIR):
+        bounds = [n / lm.least(factor, n) for n in (10**6, 10**8, 10**10, 10**13)]
+        assert all(b > 2 * a for a, b in zip(bounds, bounds[1:]))
+
+
 def brute_components(rows, width):
     sets = []
     for i, text in rows:
