@@ -27,16 +27,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import wordblocks as wb
 
 DOCS, ROW, REFERENCE, TOTAL, SEGMENT = 256, 1000, 20_480, 327_680, 256
+TRIALS, LONG = 64, 200
 UNKNOWN = "und"
 _OWN, _SYMBOLS, _WIDTH = 44, 64, 6
 _PAD, _GAP, _FIRST = 0, 1, 2
 
-PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, bits double"
+PREDICTED = "held_out boolean, lang_pred string, score double, bits double, foreign boolean"
 
 
 def _letters() -> np.ndarray:
@@ -139,11 +141,12 @@ def bits(texts: list[str | None], model: Model, at_once: int = 16_384) -> tuple[
     return out * np.log2(model.sizes) / np.maximum(lens, 1)[:, None], lettered
 
 
-def _predicted(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _predicted(model: Model, limit: float, keys: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in wb.runs(batches, 8 << 20):
-        names, scores, best = [], [], []
+        names, scores, best, foreign = [], [], [], []
         values, lettered = bits(table.column("text").to_pylist(), model)
-        for row, known in zip(values, lettered, strict=True):
+        for row, known, n in zip(values, lettered, pa.compute.utf8_length(table.column("text")).to_pylist(), strict=True):
+            foreign.append(bool(known and len(row) and n >= LONG and row.min() > limit))
             if not known or not len(row):
                 names.append(UNKNOWN)
                 scores.append(0.0)
@@ -153,11 +156,11 @@ def _predicted(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             names.append(model.names[first])
             best.append(float(row[first]))
             scores.append(1.0 if len(row) == 1 else float(1 - row[first] / np.delete(row, first).min()))
-        yield pa.RecordBatch.from_pydict({"doc_id": table.column("doc_id").combine_chunks(), "held_out": table.column("held_out").combine_chunks(), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64()), "bits": pa.array(best, pa.float64())})
+        yield pa.RecordBatch.from_pydict({**{k: table.column(k).combine_chunks() for k in keys}, "held_out": table.column("held_out").combine_chunks(), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64()), "bits": pa.array(best, pa.float64()), "foreign": pa.array(foreign)})
 
 
-def references(docs: DataFrame, held_out, id_col: str, text_col: str, lang_col: str) -> dict[str, list[str]]:
-    """The texts that train, by language; nothing else reaches the driver.
+def references(docs: DataFrame, held_out, id_col: str, text_col: str, lang_col: str) -> tuple[dict[str, list[str]], list[str]]:
+    """The texts that train, by language, and TRIALS others of each language at most; nothing else reaches the driver.
 
     Of each language the first DOCS rows of REFERENCE code points at most, short ones (ROW) before long
     ones, in order of their ids' hashes; of these, whole texts as long as the reference has room.
@@ -174,20 +177,38 @@ def references(docs: DataFrame, held_out, id_col: str, text_col: str, lang_col:
         listed.setdefault(r.lang, []).append(r.text)
     table, room = symbol_table(listed), min(REFERENCE, TOTAL // max(1, len(listed)))
     found: dict[str, list[str]] = {}
+    others: list[str] = []
     for lang, texts in listed.items():
-        left, own = room, found.setdefault(lang, [])
+        left, own, trials = room, found.setdefault(lang, []), 0
         for text in texts:
             if (n := len(to_symbols(text, table))) <= left:
                 own.append(text)
                 left -= n
-    return found
+            elif trials < TRIALS:
+                others.append(text)
+                trials += 1
+    return found, others
 
 
-def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, held_out, lang_pred, score, bits (of the winner per symbol, null for und) of every document."""
+def foreign_from(model: Model, others: list[str]) -> float:
+    """Bits per symbol from which a text is in no learned language: halfway between the worst of the labelled texts that didn't train and a phrase for each symbol."""
+    values, lettered = bits(others, model)
+    worst = max((float(row.min()) for row, known, t in zip(values, lettered, others, strict=True) if known and len(row) and len(t) >= LONG), default=0.0)
+    return (worst + float(np.log2(max(model.sizes, default=2)))) / 2
+
+
+def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", key_col: str | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, bits (of the winner per symbol, null for und), foreign of every document.
+
+    foreign: a text of LONG code points or more that needs more bits than foreign_from() allows; its
+    language is still named. key_col: another column to carry along as `key`, in front.
+    """
     from .lm import held_out
 
-    out = held_out(F.col("doc_id"), modulus, remainder)
-    model = docs.sparkSession.sparkContext.broadcast(train(references(docs, out, id_col, text_col, lang_col)))
-    rows = docs.select(docs[id_col].alias("doc_id"), held_out(docs[id_col], modulus, remainder).alias("held_out"), docs[text_col].alias("text"))
-    return wb.small_batches(rows).mapInArrow(lambda b: wb.lean(_predicted(model.value, b)), PREDICTED)
+    texts, others = references(docs, held_out(F.col("doc_id"), modulus, remainder), id_col, text_col, lang_col)
+    trained = train(texts)
+    limit, model = foreign_from(trained, others), docs.sparkSession.sparkContext.broadcast(trained)
+    keys = {"key": key_col, "doc_id": id_col} if key_col else {"doc_id": id_col}
+    rows = docs.select(*(docs[c].alias(k) for k, c in keys.items()), held_out(docs[id_col], modulus, remainder).alias("held_out"), docs[text_col].alias("text"))
+    schema = ", ".join(f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in keys.items())
+    return wb.small_batches(rows).mapInArrow(lambda b: wb.lean(_predicted(model.value, limit, list(keys), b)), f"{schema}, {PREDICTED}")

@@ -38,7 +38,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derivatives(warc.responses_of(_table(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id").drop("block")
+    return warc.derivatives(warc.responses_of(_table(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,9 @@ runs again writes the same records.
 Defined results: a response without payload, or of another content type than HTML or plain text,
 has a metadata record and an empty conversion record. Null URIs and dates are left out of the
 headers. Responses without identifier get one from their URI and payload digest. Repeated
-responses give repeated records.
+responses give repeated records. Chunked, gzip, deflate and zstd payloads are decoded; one that can't be
+keeps its bytes, and its metadata record has a payloadError. A record of a file that is cut off or
+isn't one ends that file: the records before it count, and read_errors() names it.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ import hashlib
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .html import blocks
@@ -45,10 +49,53 @@ def identifier(*parts: str | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(p or '' for p in parts))}>"
 
 
+def dechunked(data: bytes) -> bytes:
+    """The body of a chunked message, as far as it goes."""
+    out, at = [], 0
+    while (end := data.find(b"\r\n", at)) >= 0:
+        size = int(data[at:end].split(b";")[0].strip() or b"0", 16)
+        if size == 0:
+            break
+        out.append(data[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out)
+
+
+def inflated(data: bytes, wbits: int) -> bytes:
+    """The content of a compressed body, as far as it goes."""
+    unpacker = zlib.decompressobj(wbits)
+    return unpacker.decompress(data) + unpacker.flush()
+
+
+def decoded(payload: bytes, headers: list[dict]) -> tuple[bytes, str | None]:
+    """The content without transfer and content codings, and what is wrong with it; a coding that can't be undone leaves the bytes of before."""
+    codings = [c.strip().lower() for name in ("content-encoding", "transfer-encoding") for h in headers if (h["name"] or "").lower() == name for c in (h["value"] or "").split(",")]
+    wrong = None
+    for coding in reversed([c for c in codings if c not in ("", "identity")]):
+        try:
+            if coding == "chunked":
+                payload = dechunked(payload)
+            elif coding in ("gzip", "x-gzip"):
+                payload = inflated(payload, 31)
+            elif coding == "deflate":
+                try:
+                    payload = inflated(payload, 15)
+                except zlib.error:  # many servers send it without its header
+                    payload = inflated(payload, -15)
+            elif coding == "zstd":
+                payload = zstandard.ZstdDecompressor().decompressobj().decompress(payload)
+            else:
+                wrong = f"unknown coding {coding}"
+        except (ValueError, zlib.error, zstandard.ZstdError) as e:
+            wrong = f"{coding}: {e}"
+    return payload, wrong
+
+
 def derived(row: dict) -> Iterator[dict]:
     """The metadata and the conversion record of one response."""
     payload, headers = row["payload"] or b"", row["http_headers"] or []
     source = row["payload_digest"] or digest(payload)
+    payload, wrong = decoded(payload, headers)
     origin = row["record_id"] or identifier("response", row["target_uri"], source)
     kind = next((h["value"] or "" for h in headers if (h["name"] or "").lower() == "content-type"), "text/html").lower()
     charset = m[1] if (m := re.search(r"charset=\"?([\w.-]+)", kind)) else "utf-8"
@@ -58,7 +105,7 @@ def derived(row: dict) -> Iterator[dict]:
         text = payload.decode("utf-8", "replace")
     is_html = "html" in kind
     plain = "\n".join(b.text for b in blocks(text)) if is_html else text if kind.startswith("text/plain") else ""
-    fields = [("fetchStatus", row["status"]), ("payloadDigest", source), *((f"header-{h['name']}", h["value"]) for h in headers)]
+    fields = [("fetchStatus", row["status"]), ("payloadDigest", source), *([("payloadError", wrong)] if wrong else []), *((f"header-{h['name']}", h["value"]) for h in headers)]
     fields += [("outlink", next(x for x in (*m.groups(), "") if x is not None)) for m in _LINK.finditer(text)] if is_html else []
     meta = "".join(f"{k}: {' '.join((v or '').split())}\r\n" for k, v in fields)
     for kind, content_type, block in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", plain)):
@@ -115,9 +162,49 @@ def serialised(records: DataFrame) -> DataFrame:
     return records.mapInArrow(run, "key long, data binary")
 
 
+class _Members(io.RawIOBase):
+    """The content of gzip members one after the other; damage ends it, so that what came before can be read, and is kept as error."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.rest, self.unpacker, self.begun, self.error = data, 0, b"", zlib.decompressobj(31), False, None
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, room) -> int:
+        while self.error is None:
+            if not self.rest:
+                self.rest = self.data[self.at : self.at + 65536]
+                self.at += len(self.rest)
+            last = not self.rest
+            if last and not self.begun:
+                return 0
+            try:
+                out, self.begun = self.unpacker.decompress(self.rest, len(room)), True
+            except zlib.error as e:
+                self.error = str(e)
+                return 0
+            if self.unpacker.eof:
+                self.rest, self.unpacker, self.begun = self.unpacker.unused_data, zlib.decompressobj(31), False
+            else:
+                self.rest = self.unpacker.unconsumed_tail
+                if last and not out:
+                    self.error = "a compressed record is cut off"
+            if out:
+                room[: len(out)] = out
+                return len(out)
+        return 0
+
+
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of a file, gzip or plain; a record that is cut off is an error."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data))
+    """Headers (names in lower case) and block of each record of a file, gzip or plain; a record that is cut off raises ValueError."""
+    members = _Members(data) if data[:2] == b"\x1f\x8b" else None
+    yield from _records(io.BufferedReader(members or io.BytesIO(data)))
+    if members and members.error:
+        raise ValueError(members.error)
+
+
+def _records(stream: io.BufferedReader) -> Iterator[tuple[dict[str, str], bytes]]:
     while line := stream.readline():
         if not line.strip():
             continue
@@ -133,25 +220,60 @@ def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
                 headers[name] = value.strip()
         if not line:
             raise ValueError("the headers of a WARC record are cut off")
-        block = stream.read(int(headers.get("content-length", "0")))
-        if len(block) != int(headers.get("content-length", "0")):
+        length = headers.get("content-length", "0")
+        if not length.isdecimal():
+            raise ValueError(f"no length of a WARC record: {length!r}")
+        block = stream.read(int(length))
+        if len(block) != int(length):
             raise ValueError("a WARC record is cut off")
         yield headers, block
 
 
+def _response(key: int, h: dict[str, str], block: bytes) -> dict:
+    head, _, payload = block.partition(b"\r\n\r\n")
+    status, *lines = head.decode("latin-1").split("\r\n")
+    pairs = [{"name": a.strip(), "value": b.strip()} for a, _, b in (x.partition(":") for x in lines if x)]
+    return {"key": key, "record_id": h.get("warc-record-id"), "target_uri": h.get("warc-target-uri"), "date": h.get("warc-date"), "status": status, "http_headers": pairs, "payload": payload, "payload_digest": h.get("warc-payload-digest")}
+
+
+def _files(spark, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", F.xxhash64("path").alias("file"), "content")
+
+
 def read_responses(spark, path: str) -> DataFrame:
-    """The response records of WARC files, each file whole in one task (files of the usual gigabyte fit)."""
+    """The response records of WARC files, each file whole in one task (files of the usual gigabyte fit).
+
+    key: the hash of the file's path in the upper 40 bits, the record's place in the file in the lower 24.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("key", pa.int64()), *((c, pa.string()) for c in ("record_id", "target_uri", "date", "status")), ("http_headers", _PAIRS), ("payload", pa.binary()), ("payload_digest", pa.string())])
+        for batch in batches:
+            for file, data in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                try:
+                    for k, (h, block) in enumerate(parsed(data)):
+                        if h.get("warc-type") == "response":
+                            yield pa.RecordBatch.from_pylist([_response((file >> 24 << 24) + k, h, block)], schema=schema)
+                except ValueError:  # read_errors() names it
+                    continue
+
+    return _files(spark, path).mapInArrow(run, RESPONSE)
+
+
+def read_errors(spark, path: str) -> DataFrame:
+    """path, n_records (whole ones before), error: the WARC files that end in a bad record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("content").to_pylist():
-                for k, (h, block) in enumerate(parsed(data)):
-                    if h.get("warc-type") != "response":
-                        continue
-                    head, _, payload = block.partition(b"\r\n\r\n")
-                    status, *lines = head.decode("latin-1").split("\r\n")
-                    pairs = [{"name": a.strip(), "value": b.strip()} for a, _, b in (x.partition(":") for x in lines if x)]
-                    row = {"key": k, "record_id": h.get("warc-record-id"), "target_uri": h.get("warc-target-uri"), "date": h.get("warc-date"), "status": status, "http_headers": pairs, "payload": payload, "payload_digest": h.get("warc-payload-digest")}
-                    yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("key", pa.int64()), *((c, pa.string()) for c in ("record_id", "target_uri", "date", "status")), ("http_headers", _PAIRS), ("payload", pa.binary()), ("payload_digest", pa.string())]))
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RESPONSE)
+            out: dict[str, list] = {"path": [], "n_records": [], "error": []}
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                n = 0
+                try:
+                    for _ in parsed(data):
+                        n += 1
+                except ValueError as e:
+                    for k, v in zip(out, (name, n, str(e)), strict=True):
+                        out[k].append(v)
+            yield pa.RecordBatch.from_pydict({"path": pa.array(out["path"], pa.string()), "n_records": pa.array(out["n_records"], pa.int64()), "error": pa.array(out["error"], pa.string())})
+
+    return _files(spark, path).mapInArrow(run, "path string, n_records long, error string")

@@ -1,5 +1,6 @@
 """Operators against brute force, and over nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import base64
 import collections
 import gzip
 import hashlib
@@ -243,6 +244,43 @@ def test_warc_file(spark, tmp_path):
     assert rows["conversion"].block == "Hi" and rows["metadata"].refers_to == "<urn:1>" and rows["metadata"].source_digest == "sha1:Z" and "header-X-A: b" in rows["metadata"].block
 
 
+def test_warc_codings_and_bad_records(spark, tmp_path):
+    import zstandard
+
+    body = ("<p>Grüße " + "x " * 5000 + "</p>").encode()
+    packed = gzip.compress(body)
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(c), c) for c in (packed[:7], packed[7:])) + b"0\r\n\r\n"
+    sent = {"plain": ("", body), "gzip": ("Content-Encoding: gzip\r\n", packed), "both": ("Content-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n", chunked), "deflate": ("Content-Encoding: deflate\r\n", zlib.compress(body)[2:-4]), "zstd": ("Content-Encoding: zstd\r\n", zstandard.compress(body)), "bad": ("Content-Encoding: gzip\r\n", b"no gzip")}
+    records = [warc.record_bytes([("WARC-Type", "response"), ("WARC-Target-URI", k)], f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n{h}\r\n".encode() + data) for k, (h, data) in sent.items()]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(records[0] + records[1][:-20])
+    (tmp_path / "c.warc").write_bytes(b"WARC/1.1\r\nContent-Length: many\r\n\r\n")
+    got = warc.derivatives(warc.read_responses(spark, str(tmp_path)).withColumn("block", F.lit(1))).collect()
+    text = html.main_text(body.decode())
+    rows = collections.Counter((r.target_uri, r.block == text) for r in got if r.record_type == "conversion")
+    assert rows == {("plain", True): 2, **{(k, True): 1 for k in ("gzip", "both", "deflate", "zstd")}, ("bad", False): 1}
+    assert len({r.key for r in got}) == 7 and [r.target_uri for r in got if r.record_type == "metadata" and "payloadError" in r.block] == ["bad"]
+    errors = {r.path.rsplit("/", 1)[1]: r.n_records for r in warc.read_errors(spark, str(tmp_path)).collect()}
+    assert errors == {"b.warc.gz": 1, "c.warc": 0}
+
+
+def test_warc_against_brute_force(spark):
+    """The derivatives of every small page, from the page alone."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    source = {r.page_id: r for r in pages.collect()}
+    rows = warc.derivatives(warc.responses_of(pages)).collect()
+    assert len(rows) == 2 * len(source)
+    for r in rows:
+        page = source[r.key]
+        assert r.target_uri == page.url and r.source_digest == "sha1:" + base64.b32encode(hashlib.sha1(page.html.encode()).digest()).decode()
+        if r.record_type == "metadata":
+            assert [x[9:] for x in r.block.split("\r\n") if x.startswith("outlink: ")] == re.findall(r'<a href="([^"]*)"', page.html)
+        else:
+            body = re.sub(r"<!--.*?-->|<script>.*?</script>", "", page.html.split("</head>")[1], flags=re.S)
+            spaced = re.sub(r"</?(?:br|p|li|h1|div|ul|nav|article|footer|body|html)\b[^>]*>", " ", body)
+            assert r.block.split() == html.html.unescape(re.sub(r"</?[ab]\b[^>]*>", "", spaced)).split()
+
+
 def test_lm(docs, none, spark):
     for df in (docs, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")):
         source = [(r.doc_id, (r.text or "").encode().lower().split() + [None]) for r in df.collect()]
@@ -520,3 +558,29 @@ def test_pipeline(spark, vocabulary):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Null and repeated ids, an empty table, and columns with the stages' own names."""
+    sf = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    rows = [(1, EN, "en"), (None, EN, "en"), (2, EN + " and so on", "en"), (2, DE, "de"), (2, None, "en"), (None, "12 34", "en"), (None, item, "en"), (3, item + " " + DE, "de"), (3, DE + " " + EN, "de"), (3, DE + " " + EN, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"row": F.lit(7), "row_": F.lit("x"), "gone": F.lit(1), "key": F.lit("k"), "group": F.lit(2)})
+    stages = dict(corpus_pipeline.STAGES)
+    texts = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
+    lettered = stages["language ID"](spark, docs, sf)
+    assert lettered.columns == docs.columns and texts(lettered) == collections.Counter((i, t) for i, t, _ in rows if t and t != "12 34")
+    single = stages["MinHash near-dedup"](spark, lettered, sf)
+    assert single.columns == docs.columns and texts(single) == collections.Counter({(1, EN): 1, (2, DE): 1, (None, item): 1, (3, item + " " + DE): 1, (3, DE + " " + EN): 1})
+    clean = stages["benchmark decontamination"](spark, single, sf)
+    assert clean.columns == docs.columns and texts(clean) == collections.Counter({(1, EN): 1, (2, DE): 1, (3, DE + " " + EN): 1})
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_language_of_foreign_texts(docs, spark):
+    """Long texts that no reference helps to parse are foreign; labelled prose isn't."""
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(-1, "".join(chr(0x4E00 + (k * k * 7919) % 20000) for k in range(900)), None)], "doc_id long, text string, lang string")
+    got = langid.identify(big.union(odd), key_col="lang").filter("foreign").collect()
+    assert [r.doc_id for r in got] == [-1]
