@@ -40,7 +40,7 @@ from .scratch import written
 from .skew import lookup
 
 BANDS, ROWS = 40, 6
-CENTRES, CENTRE_SHINGLES, CHUNK = 64, 4_000_000, 1024
+CENTRES, CENTRE_SHINGLES, CHUNK = 32, 4_000_000, 256
 _ATTEMPTS = 2000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
