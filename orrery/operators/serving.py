@@ -39,7 +39,7 @@ class PageQuery:
         return CARD_PAGE if self.kind == "cards" else PAGE
 
     def check(self) -> None:
-        if self.kind not in ("articles", "cards", "creators") or self.sort not in SORTS:
+        if self.kind not in ("articles", "cards") or self.sort not in SORTS:
             raise ValueError("unknown kind or sort")
         if self.offset < 0 or self.offset % self.page:
             raise ValueError(f"offset must be a multiple of {self.page}")

@@ -128,11 +128,49 @@ def test_reports(spark):
         reports.calculate("nothing")
 
 
+def test_history_supplement(spark):
+    """Unknown stays apart from zero, and an unreadable edit takes the dated measures of its user alone."""
+    from orrery.operators import supplement
+
+    rev = "page_id long, revision_id long, parent_id long, at string, user_id long, hidden boolean, groups string, tags string, registration string, created string, first string, before boolean"
+    one = lambda page, user, at="2024-03-05 00:00:00", **kw: tuple({"page_id": page, "revision_id": page * 10, "parent_id": 0, "at": at, "user_id": user, "hidden": False, "groups": "", "tags": "a,b", "registration": "2024-03-01 00:00:00", "created": None, "first": "", "before": False, **kw}.values())
+    revisions = spark.createDataFrame([one(1, 7), one(2, 8), one(3, None), one(4, 7), one(4, 7, revision_id=41), one(5, 9, hidden=True), one(6, 7, created="2020-01-01 00:00:00")], rev)
+    pages = spark.createDataFrame([(k,) for k in range(1, 8)], "page_id long")
+    stamps = spark.createDataFrame([(k, "2024-03-05 00:00:00") for k in (1, 2, 4)], "page_id long, at string")
+    months = [(7, f"2024-{m:02d}-0{k} 00:00:00", k % 2) for m in (1, 2) for k in range(1, 6)]
+    edits = spark.createDataFrame([*months, (8, "2024-01-01 00:00:00", 0), (8, "2024-13-01 00:00:00", 0), (99, "bad", 0)], "user_id long, at string, ns long")
+    groups = spark.createDataFrame([(7, "bot", "invalid"), (8, "sysop", None)], "user_id long, name string, expiry string")
+    events = spark.createDataFrame([], "page_id long, event_type string, at string")
+    got = {r.page_id: r for r in supplement.supplement(revisions, events, stamps, edits, groups, pages, F.lit("2025-01-01").cast("timestamp"), "xx").collect()}
+    assert (got[1].prior_main, got[1].prior_other, got[1].prior_articles, got[1].months, got[1].bucket, got[1].tenure_days, got[1].is_bot_now, got[1].creator_key) == (4, 6, 0, 2, "two", 4.0, None, "xx:history-user:7")
+    assert (got[2].prior_main, got[2].bucket, got[2].creator_history_status, got[2].is_bot_now, got[2].creation_tags_history, got[2].creator_groups_status) == (None, None, "invalid_history_timestamp", False, ["a", "b"], "unknown")
+    want = {3: "history_hidden_or_unregistered_creator", 4: "history_ambiguous_initial_revisions", 5: "history_hidden_or_unregistered_creator", 6: "history_inconsistent_creation_dates", 7: "history_missing_initial_revision"}
+    assert {k: got[k].creator_attribution for k in want} == want and all(got[k].creator_history_status == "unavailable" and got[k].prior_main is None for k in want)
+
+
+def test_time_key(spark):
+    from orrery.operators.supplement import time_key
+
+    times = ["2024-01-01 10:00:59.999999999", "2024-01-01 10:00:60", "2024-01-01 10:00:60.000000001", "2024-01-01 10:01:00", "0000-01-01 00:00:00", "2024-02-30 00:00:00", "2024-01-01 10:00:61", "bad"]
+    rows = spark.createDataFrame([(t,) for t in times], "at string").withColumn("k", time_key(F.col("at")))
+    assert [r.at for r in rows.filter("k IS NOT NULL").orderBy("k").collect()] == times[:4]
+
+
+def test_creators_listing(spark):
+    from orrery.operators import editorial
+
+    rows = spark.createDataFrame([(f"U{k:02d}", k, None if k % 3 else 100 - k, k % 2) for k in range(40)], "key string, articles long, total long, orphans long")
+    total, page = editorial.creators(rows, "u", "articles-desc", 25, census_counts=False)
+    assert total.first().total == 40 and [r.key for r in page.collect()][-1] == "U38" and editorial.creators(rows, "u3")[0].first().total == 10
+    with pytest.raises(ValueError):
+        editorial.creators(rows, offset=3)
+
+
 def test_serving(spark):
     pages = spark.createDataFrame([("a", k, f"Page {k:02d}", None, None, True, None if k == 3 else k, 1.0) for k in range(1, 61)], "language string, page_id long, title string, category string, topic_labels array<string>, orphan boolean, count long, age double")
     total, page = serving.run(pages, serving.PageQuery(sort="count", descending=True, offset=50))
     assert total.first().total == 60 and page.collect()[-1].page_id == 3
-    for bad in (dict(offset=7), dict(kind="x"), dict(sort="x"), dict(hidden=["c"] * 129)):
+    for bad in (dict(offset=7), dict(kind="x"), dict(kind="creators"), dict(sort="x"), dict(hidden=["c"] * 129)):
         with pytest.raises(ValueError):
             serving.PageQuery(**bad).check()
 
