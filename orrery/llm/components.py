@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .scratch import cut
-from .skew import lookup
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) for the nodes of edges(a, b). Edges may repeat; an empty table gives none.
 
     A label travels to all neighbours in each round, and each node then takes its label's label, so
-    the rounds grow with the logarithm of a component's diameter; one for stars. A node with very
-    many edges, and a label of very many nodes, are looked up without meeting in one task.
+    the rounds grow with the logarithm of a component's diameter; one for stars. Rows are a few numbers
+    each; partitions that one node's edges or one label's nodes make large are split by AQE.
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).filter("a != b").distinct().toDF("u", "v"))
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")))
     while True:
-        least = lookup(both, labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        new = cut(labels.join(least, F.col("node") == F.col("u"), "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")))
+        least = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
+        new = labels.join(least, F.col("node") == F.col("u"), "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        top = new.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        new = cut(new.join(top, "label", "left").select("node", "old", F.least("label", "top").alias("label")))
         if new.filter("old != label").isEmpty():
             return labels
-        top = new.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        labels = cut(lookup(new, top, "label", "left").select("node", F.least("label", "top").alias("label")))
+        labels = new.select("node", "label")

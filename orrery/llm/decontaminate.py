@@ -108,7 +108,7 @@ def _passages(index: Index, min_score: float, batches: Iterator[pa.RecordBatch])
                     continue
                 for k, v in zip(out, (doc, i, begin, b" ".join(words[begin:end])), strict=True):
                     out[k].append(v)
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(out["doc_id"], pa.int64()), "item": pa.array(out["item"], pa.int32()), "begin": pa.array(out["begin"], pa.int64()), "passage": pa.array(out["passage"], pa.binary()).cast(pa.string())})
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(out["doc_id"], batch.schema.field("doc_id").type), "item": pa.array(out["item"], pa.int32()), "begin": pa.array(out["begin"], pa.int64()), "passage": pa.array(out["passage"], pa.binary()).cast(pa.string())})
 
 
 def aligned(item: list[bytes], passage: list[bytes]) -> tuple[float, int]:
@@ -146,7 +146,7 @@ def _aligned(batches: Iterator[pa.RecordBatch], min_score: float) -> Iterator[pa
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, score, end_word: the pairs of document and item that align from min_score on; end_word: the word of the document after the passage."""
-    spark = docs.sparkSession
+    spark, id_type = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).filter(F.col("text").isNotNull())
     items = benchmark.select(benchmark[item_col].alias("item_id"), benchmark[item_text_col].alias("item_text")).filter(F.col("item_text").isNotNull())
     total = items.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()[0]
@@ -159,9 +159,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, i
         listed = [(t, by_text[t]) for t in sorted(by_text)]
         index = Index([(i, t) for i, (t, _) in enumerate(listed)])
         shared = spark.sparkContext.broadcast(index)
-        passages = texts.mapInArrow(lambda b, x=shared: wb.lean(_passages(x.value, min_score, b)), "doc_id long, item int, begin long, passage string")
+        passages = texts.mapInArrow(lambda b, x=shared: wb.lean(_passages(x.value, min_score, b)), f"doc_id {id_type}, item int, begin long, passage string")
         known = spark.createDataFrame([(i, item, t) for i, (t, ids) in enumerate(listed) for item in ids] or [(-1, -1, "")], "item int, item_id long, item_text string")
-        scored = passages.join(F.broadcast(known), "item").mapInArrow(lambda b: wb.lean(_aligned(b, min_score)), "doc_id long, item_id long, score double, end_word long")
+        scored = passages.join(F.broadcast(known), "item").mapInArrow(lambda b: wb.lean(_aligned(b, min_score)), f"doc_id {id_type}, item_id long, score double, end_word long")
         best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "end_word")).alias("m")).select("doc_id", "item_id", "m.score", "m.end_word")
         result = best if result is None else result.union(best)
     return result

@@ -197,18 +197,18 @@ def foreign_from(model: Model, others: list[str]) -> float:
     return (worst + float(np.log2(max(model.sizes, default=2)))) / 2
 
 
-def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", key_col: str | None = None) -> DataFrame:
+def identify(docs: DataFrame, modulus: int = 4, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits (of the winner per symbol, null for und), foreign of every document.
 
     foreign: a text of LONG code points or more that needs more bits than foreign_from() allows; its
-    language is still named. key_col: another column to carry along as `key`, in front.
+    language is still named. carry: columns of docs that come along in front, as k0, k1, ...; a row stays a row.
     """
     from .lm import held_out
 
     texts, others = references(docs, held_out(F.col("doc_id"), modulus, remainder), id_col, text_col, lang_col)
     trained = train(texts)
     limit, model = foreign_from(trained, others), docs.sparkSession.sparkContext.broadcast(trained)
-    keys = {"key": key_col, "doc_id": id_col} if key_col else {"doc_id": id_col}
+    keys = {f"k{i}": c for i, c in enumerate(carry or [])} | {"doc_id": id_col}
     rows = docs.select(*(docs[c].alias(k) for k, c in keys.items()), held_out(docs[id_col], modulus, remainder).alias("held_out"), docs[text_col].alias("text"))
     schema = ", ".join(f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in keys.items())
     return wb.small_batches(rows).mapInArrow(lambda b: wb.lean(_predicted(model.value, limit, list(keys), b)), f"{schema}, {PREDICTED}")

@@ -97,7 +97,8 @@ def _digest(values: np.ndarray) -> bytes | None:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None
 
 
-def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], width: int, numbered: bool) -> Iterator[pa.RecordBatch]:
+    """numbered: doc_id is the row's number already, and the texts are found by it; else rows get one, and keep their text."""
     from pyspark import TaskContext
 
     row = TaskContext.get().partitionId() << 40
@@ -107,10 +108,9 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             sizes.append(len(values))
             digests.append(_digest(values))
             keys.append(band_keys(values) if len(values) else None)
-        yield pa.RecordBatch.from_pydict({
-            "row": pa.array(np.arange(row, row + len(sizes))), "doc_id": table.column("doc_id").combine_chunks(), "n_shingles": pa.array(sizes, pa.int64()),
-            "class": pa.array(digests, pa.binary()), "bands": pa.array(keys, pa.list_(pa.int64())), "text": table.column("text").combine_chunks(),
-        })
+        ids = table.column("doc_id").combine_chunks()
+        columns = {"row": ids if numbered else pa.array(np.arange(row, row + len(sizes))), "doc_id": ids, "n_shingles": pa.array(sizes, pa.int64()), "class": pa.array(digests, pa.binary()), "bands": pa.array(keys, pa.list_(pa.int64()))}
+        yield pa.RecordBatch.from_pydict(columns if numbered else columns | {"text": table.column("text").combine_chunks()})
         row += len(sizes)
 
 
@@ -245,13 +245,16 @@ def _rest(stars: DataFrame, links: DataFrame, classes: DataFrame, texts: DataFra
     return components(links.union(_confirmed(chosen, texts, width, percent)))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document; links are sets with 100 * common >= 100 * threshold * union."""
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", numbered: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document; links are sets with 100 * common >= 100 * threshold * union.
+
+    numbered: the ids are numbers, none null or twice, and docs is a written table; its texts needn't be written again.
+    """
     percent, id_type = round(100 * threshold), docs.schema[id_col].dataType.simpleString()
     chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    schema = f"row long, doc_id {id_type}, n_shingles long, class binary, bands array<long>, text string"
-    signed = written(wb.small_batches(chosen).mapInArrow(lambda b: wb.lean(_signed(b, width)), schema), "dedup-sets")
-    filled, texts = signed.filter("class IS NOT NULL"), signed.select("row", "text")
+    schema = f"row long, doc_id {id_type}, n_shingles long, class binary, bands array<long>" + (", text string" if not numbered else "")
+    signed = written(wb.small_batches(chosen).mapInArrow(lambda b: wb.lean(_signed(b, width, numbered)), schema), "dedup-sets")
+    filled, texts = signed.filter("class IS NOT NULL"), chosen.toDF("row", "text") if numbered else signed.select("row", "text")
     classes = written(filled.groupBy("class").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "dedup-classes")
     dealt = classes.select(F.explode("bands").alias("key"), "n", "node").repartitionByRange("key", "n", "node").sortWithinPartitions("key", "n", "node")
     pieces = written(dealt.mapInArrow(lambda b: wb.lean(_stars(b, threshold)), "a long, b long, key long"), "dedup-pieces")

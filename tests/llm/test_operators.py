@@ -565,7 +565,7 @@ def test_pipeline_stages_on_odd_rows(spark):
     sf = "/root/testdata/sf0.001"
     item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
     rows = [(1, EN, "en"), (None, EN, "en"), (2, EN + " and so on", "en"), (2, DE, "de"), (2, None, "en"), (None, "12 34", "en"), (None, item, "en"), (3, item + " " + DE, "de"), (3, DE + " " + EN, "de"), (3, DE + " " + EN, "de")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"row": F.lit(7), "row_": F.lit("x"), "gone": F.lit(1), "key": F.lit("k"), "group": F.lit(2)})
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"row": F.lit(7), "row_": F.lit("x"), "gone": F.lit(1), "digest": F.lit("k"), "group": F.lit(2), "k0": F.lit(5), "lang_pred": F.lit("und")})
     stages = dict(corpus_pipeline.STAGES)
     texts = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
     lettered = stages["language ID"](spark, docs, sf)
@@ -582,5 +582,5 @@ def test_language_of_foreign_texts(docs, spark):
     """Long texts that no reference helps to parse are foreign; labelled prose isn't."""
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     odd = spark.createDataFrame([(-1, "".join(chr(0x4E00 + (k * k * 7919) % 20000) for k in range(900)), None)], "doc_id long, text string, lang string")
-    got = langid.identify(big.union(odd), key_col="lang").filter("foreign").collect()
+    got = langid.identify(big.union(odd), carry=["lang"]).filter("foreign").collect()
     assert [r.doc_id for r in got] == [-1]
