@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import wordblocks as wb
 
-DOCS, ROW, REFERENCE, TOTAL, SEGMENT = 256, 1000, 20_480, 327_680, 256
-TRIALS, LONG = 64, 200
+SALTS, DOCS, ROW, REFERENCE, TOTAL, SEGMENT = 32, 96, 1000, 20_480, 327_680, 256
+TRIALS, LONG = 32, 200
 UNKNOWN = "und"
 _OWN, _SYMBOLS, _WIDTH = 44, 64, 6
 _PAD, _GAP, _FIRST = 0, 1, 2
@@ -167,9 +167,11 @@ def references(docs: DataFrame, held_out, id_col: str, text_col: str, lang_col:
     """
     usable = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).filter(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length(F.col("text")) <= REFERENCE))
     order = [F.length("text") > ROW, F.xxhash64("doc_id"), "doc_id"]
-    first = Window.partitionBy("lang").orderBy("long", "hash", "doc_id")
     keyed = usable.select("lang", "doc_id", order[0].alias("long"), order[1].alias("hash"))
-    ids = keyed.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= DOCS).select("doc_id").distinct().collect()
+    for by in (["lang", F.pmod("hash", F.lit(SALTS))], ["lang"]):  # the first of each part, then of these: no language is one task's
+        first = Window.partitionBy(*by).orderBy("long", "hash", "doc_id")
+        keyed = keyed.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= DOCS).drop("k")
+    ids = keyed.select("doc_id").distinct().collect()
     chosen = F.col("doc_id").isin([r.doc_id for r in ids if r.doc_id is not None]) | (F.col("doc_id").isNull() if any(r.doc_id is None for r in ids) else F.lit(False))
     rows = usable.filter(chosen).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "text"))).filter(F.col("k") <= DOCS).collect()
     listed: dict[str, list[str]] = {}

@@ -15,7 +15,8 @@
 5. Stars whose members lie in several components may hold further links; those that share members
    make a unit. Any link between components has an end outside the largest component of its unit:
    such members are centres, of which a task holds CENTRES, and all members of the unit are compared
-   with them, as they go by. Where that sends more rows, the unit is first cut by shingles: two sets
+   with them, as they go by. Where that sends members more than once, and more rows than the following,
+   the unit is first cut by shingles: two sets
    that reach the threshold share one of their rarest, counted within the unit, that is one of the
    first n - ceil(threshold * n) + 1 of a set of n. Either way decides every candidate.
 
@@ -215,10 +216,10 @@ def _refined(open_: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
 
 def _undecided(rows: DataFrame) -> DataFrame:
-    """unit, top, cost: the label of most members in each unit of several labels, and the rows to be sent for the comparison of all others with its members."""
+    """unit, top, m, cost: the label of most members in each unit of several labels, its members, and the rows to be sent to compare all others with them."""
     per = rows.groupBy("unit", "label").agg(F.count("*").alias("m"))
     tops = per.groupBy("unit").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.max("m").alias("most"), F.sum("m").alias("m"))
-    return tops.filter("most < m").select("unit", "top", (F.col("m") * F.ceil((F.col("m") - F.col("most")) / CENTRES)).alias("cost"))
+    return tops.filter("most < m").select("unit", "top", "m", (F.col("m") * F.ceil((F.col("m") - F.col("most")) / CENTRES)).alias("cost"))
 
 
 def _rest(stars: DataFrame, links: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -234,14 +235,18 @@ def _rest(stars: DataFrame, links: DataFrame, classes: DataFrame, texts: DataFra
     rows = groups.join(labels, "node", "left").join(classes.select("node", "n"), "node").select("unit", "node", F.coalesce("label", "node").alias("label"), "n")
     rows = written(rows, "dedup-rest")
     whole = written(_undecided(rows), "dedup-rest-groups")
-    fine = written(_refined(lookup(rows, whole, "unit").select("unit", "node", "label", "n"), texts, width, percent), "dedup-rest-shingles")
+    is_centre = (F.col("label") != F.col("top")).alias("centre")
+    several = whole.filter("cost > m")  # one block of centres goes by each member once: nothing to gain
+    if several.isEmpty():
+        return components(links.union(_confirmed(written(lookup(rows, whole, "unit").select("unit", "node", "n", is_centre), "dedup-rest-chosen"), texts, width, percent)))
+    fine = written(_refined(lookup(rows, several, "unit").select("unit", "node", "label", "n"), texts, width, percent), "dedup-rest-shingles")
     parts = written(_undecided(fine), "dedup-rest-units")
     cost = fine.select("unit", "of").distinct().join(parts, "unit").groupBy("of").agg(F.sum("cost").alias("fine_cost")).withColumnRenamed("of", "unit")
-    best = whole.join(cost, "unit", "left").withColumn("fine_cost", F.coalesce("fine_cost", F.lit(0)))
+    best = whole.join(cost, "unit", "left").withColumn("fine_cost", F.when(F.col("cost") > F.col("m"), F.coalesce("fine_cost", F.lit(0))).otherwise(F.col("cost")))
     whole_ones, fine_ones = best.filter("cost <= fine_cost").select("unit", "top"), best.filter("cost > fine_cost").select(F.col("unit").alias("of"))
-    chosen = lookup(rows, written(whole_ones, "dedup-rest-whole"), "unit").select("unit", "node", "n", (F.col("label") != F.col("top")).alias("centre"))
+    chosen = lookup(rows, written(whole_ones, "dedup-rest-whole"), "unit").select("unit", "node", "n", is_centre)
     small = lookup(lookup(fine, written(fine_ones, "dedup-rest-fine"), "of"), parts, "unit")
-    chosen = written(chosen.union(small.select("unit", "node", "n", (F.col("label") != F.col("top")).alias("centre"))), "dedup-rest-chosen")
+    chosen = written(chosen.union(small.select("unit", "node", "n", is_centre)), "dedup-rest-chosen")
     return components(links.union(_confirmed(chosen, texts, width, percent)))
 
 
