@@ -619,4 +619,4 @@ def _(s, d):
     return s.read.parquet(f"{d}/customer.parquet").select("c_custkey", observations.measured(F.col("c_acctbal")).alias("v"))
 
 
-from . import catalog_editorial, catalog_history  # noqa: E402, F401  they add their queries to these
+from . import catalog_editorial, catalog_history, catalog_reviews  # noqa: E402, F401  they add their queries to these
