@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .catalog import _PAGES, _SHORT, census, published, query, shortlist
 from .operators import refresh, reviews
 from .plans.views import duckdb_with
+from .session import hold
 
 _FAR = 1_000_000_000
 
@@ -22,7 +23,7 @@ after AS (SELECT language, target_id, source_id, coalesce(j.status, h.status) AS
 
 def _reviews(s, d):
     """Published edges, reviews so far, and submissions, two for each edge; some of them for edges that aren't there."""
-    short = shortlist(s, d).select("language", "target_id", F.col("link_id").alias("source_id"))
+    short = hold(shortlist(s, d).select("language", "target_id", F.col("link_id").alias("source_id")))
     k, far = F.col("source_id"), lambda n: F.when(F.col("source_id") % n == 0, F.col("target_id") + _FAR).otherwise(F.col("target_id"))
     said = F.when(k % 4 == 0, "fixed").when(k % 4 == 1, "not_fixed").when(k % 4 == 2, "bad_link").otherwise("done")
     held = short.select("language", far(7).alias("target_id"), "source_id", F.lit("not_fixed").alias("status"), (k % 2).alias("version"))
