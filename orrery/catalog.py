@@ -37,7 +37,8 @@ def census(s, d):
 
 
 def occurrences(s, d):
-    return graph.resolved_links(spark_view(s, d, "raw_link"), census(s, d), graph.resolve_redirects(spark_view(s, d, "redirect")))
+    """The derived titles keep six digits of a key, so from a million parts on pages share them; a link leads to each of these, as in the SQL."""
+    return graph.resolved_links(spark_view(s, d, "raw_link"), census(s, d), graph.resolve_redirects(spark_view(s, d, "redirect")), shared_titles=True)
 
 
 def edges(s, d):

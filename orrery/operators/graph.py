@@ -42,10 +42,14 @@ def one_page() -> Column:
     return F.when(F.count("*") > 1, F.raise_error(F.concat(F.lit("two pages have the title "), F.first("title"))).cast("long")).otherwise(F.min("page_id"))
 
 
-def resolved_links(links: DataFrame, census: DataFrame, resolved: DataFrame) -> DataFrame:
-    """language, source_id, target_id per link occurrence; a null target_id is unresolved. A redirect goes before a page of its title."""
+def resolved_links(links: DataFrame, census: DataFrame, resolved: DataFrame, shared_titles: bool = False) -> DataFrame:
+    """language, source_id, target_id per link occurrence; a null target_id is unresolved. A redirect goes before a page of its title.
+
+    A title of two pages is an error, or with shared_titles an occurrence for each of its pages.
+    """
     hop = resolved.select("language", F.col("title").alias("target_title"), F.col("target"), F.lit(True).alias("redirected"))
-    pages = census.groupBy("language", F.col("title").alias("final")).agg(one_page().alias("target_id"))
+    title = F.col("title").alias("final")
+    pages = census.select("language", title, F.col("page_id").alias("target_id")) if shared_titles else census.groupBy("language", title).agg(one_page().alias("target_id"))
     ends = links.join(hop, ["language", "target_title"], "left").withColumn("final", F.when(F.col("redirected"), F.col("target")).otherwise(F.col("target_title")))
     return ends.join(pages, ["language", "final"], "left").select("language", "source_id", "target_id")
 
