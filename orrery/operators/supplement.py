@@ -111,18 +111,18 @@ def initialised(rows: DataFrame) -> DataFrame:
 def observed_history(rows: DataFrame, records_: DataFrame | None, missing_status: str = "missing_page") -> DataFrame:
     """rows(page_id, created_at, ...) with the history of their pages; the record's creation date replaces theirs, known or not.
 
-    Without records every row is not_collected. A page without a known first revision, or without an
+    A page that stands in several rows keeps as many. Without records every row is not_collected. A page without a known first revision, or without an
     attributed creator, has no creator columns.
     """
     if records_ is None:
         return rows.withColumn("history_data_status", F.lit("not_collected"))
-    joined = rows.drop("created_at").join(records_.withColumn("_has", F.lit(True)), "page_id", "left").join(rows.select("page_id", "created_at"), "page_id")
+    joined = rows.withColumnRenamed("created_at", "_created").join(records_.withColumn("_has", F.lit(True)), "page_id", "left")
     unknown, observed = F.col("article_created_at").isNull(), F.col("creator_history_status") == "observed_surviving_history"
     status = F.when(F.col("_has").isNull(), missing_status).when(unknown, "history_initial_revision_unknown").when(~observed, "unattributed_history").otherwise("matched_reconstructed_history")
     matched = lambda c: F.when(F.col("history_data_status") == "matched_reconstructed_history", F.col(c))
     told = joined.withColumn("history_data_status", status)
     return told.select(
-        *(c for c in rows.columns if c != "created_at"), F.when(F.col("_has"), F.col("page_created_at")).otherwise(F.col("created_at")).alias("created_at"),
+        *(c for c in rows.columns if c != "created_at"), F.when(F.col("_has"), F.col("page_created_at")).otherwise(F.col("_created")).alias("created_at"),
         F.when(F.col("_has"), F.col("creation_status")).alias("creation_date_status"), F.col("article_created_at").alias("history_first_revision_at"),
         F.when(~unknown, F.col("creator_attribution")).alias("history_creator_status"), matched("creator_key").alias("history_creator_key"),
         *(matched(c).alias(c) for c in (*MEASURES, "bucket", "tenure_days", "is_bot_now")), "history_data_status",
