@@ -11,7 +11,8 @@
    members, never all pairs. A group of near copies has the same least class in most of its bands,
    so its stars are mostly one. Buckets are dealt by ranges, so a large one has many tasks.
 4. Each member is compared with its hub on the full sets; a task holds the hub's set, and a hub of
-   many members stands in many tasks. Components of the links that hold are settled.
+   many members stands in many tasks. Components of the links that hold are settled; of a member's
+   hubs, the others are first linked with the least, as many members have the same few.
 5. Stars whose members lie in several components may hold further links; those that share members
    make a unit. Any link between components has an end outside the largest component of its unit:
    such members are centres, of which a task holds CENTRES, and all members of the unit are compared
@@ -148,17 +149,26 @@ def _stars(batches: Iterator[pa.RecordBatch], threshold: float, most: int = 1_00
 
 
 def _checked(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (unit, block, chunk), and of each its centres first; every other row is compared with all of them."""
-    at, centres, sets = None, [], []
+    """Rows come sorted by (unit, block, chunk), and of each its centres first; every other row is compared with all of them.
+
+    Links are given out where they join labels that no link of the same block and chunk has joined before, so fewer than labels.
+    """
+    at, centres, sets, joined = None, [], [], {}
+
+    def root(x: int) -> int:
+        while (up := joined.get(x, x)) != x:
+            joined[x] = x = joined.get(up, up)
+        return x
+
     keys, owners, sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     for table in wb.runs(batches, 8 << 20):
         found = {"a": [], "b": []}
-        ends = zip(*(table.column(k).to_pylist() for k in ("unit", "block", "chunk", "centre", "node")), shingle_sets(list(wb.each(table.column("text"))), width), strict=True)
-        for unit, block, chunk, centre, node, values in ends:
+        ends = zip(*(table.column(k).to_pylist() for k in ("unit", "block", "chunk", "centre", "node", "label")), shingle_sets(list(wb.each(table.column("text"))), width), strict=True)
+        for unit, block, chunk, centre, node, label, values in ends:
             if (unit, block, chunk) != at:
-                at, centres, sets, keys = (unit, block, chunk), [], [], None
+                at, centres, sets, joined, keys = (unit, block, chunk), [], [], {}, None
             if centre:
-                centres.append(node)
+                centres.append((node, label))
                 sets.append(values)
                 continue
             if not sets:  # a block that no centre fell into
@@ -172,14 +182,15 @@ def _checked(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Ite
             places = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
             common = np.bincount(owners[places], minlength=len(sizes))
             for k in np.flatnonzero(100 * common >= percent * (sizes + len(values) - common)).tolist():
-                if centres[k] != node:
-                    found["a"].append(centres[k])
+                if (one := root(centres[k][1])) != (other := root(label)):
+                    joined[one] = other
+                    found["a"].append(centres[k][0])
                     found["b"].append(node)
         yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in found.items()})
 
 
 def _confirmed(units: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """a, b: the links between the centres and the members of a unit, on the full sets. units: unit, node, centre, n.
+    """a, b: links between the centres and the members of a unit, on the full sets, that join all labels which such links join. units: unit, node, centre, n, label.
 
     A task holds the sets of CENTRES centres at most, and of so many shingles in all; members go by.
     A unit of more centres has several blocks of them, and one of many members several chunks.
@@ -188,8 +199,8 @@ def _confirmed(units: DataFrame, texts: DataFrame, width: int, percent: int) ->
     rows = lookup(units, written(per, "dedup-units"), "unit")
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     place = lambda c: F.pmod(F.hash("node"), F.col(c))
-    centres = rows.filter("centre").select("unit", place("blocks").alias("block"), upto("chunks").alias("chunk"), "node", "centre")
-    members = rows.select("unit", upto("blocks").alias("block"), place("chunks").alias("chunk"), "node", F.lit(False).alias("centre"))
+    centres = rows.filter("centre").select("unit", place("blocks").alias("block"), upto("chunks").alias("chunk"), "node", "label", "centre")
+    members = rows.select("unit", upto("blocks").alias("block"), place("chunks").alias("chunk"), "node", "label", F.lit(False).alias("centre"))
     dealt = centres.union(members).join(texts.withColumnRenamed("row", "node"), "node")
     ordered = dealt.repartition("unit", "block", "chunk").sortWithinPartitions("unit", "block", "chunk", F.desc("centre"))
     return wb.small_batches(ordered).mapInArrow(lambda r: wb.lean(_checked(r, width, percent)), "a long, b long").distinct()
@@ -221,16 +232,22 @@ def _undecided(rows: DataFrame) -> DataFrame:
     return tops.filter("most < m").select("unit", "top", (F.col("m") * F.ceil((F.col("m") - F.col("most")) / CENTRES)).alias("cost"))
 
 
+def _thinned(edges: DataFrame) -> DataFrame:
+    """a, b: fewer edges of the same components. Each b stays with its least a, with which its others are linked; edges of stars, so a b has BANDS of them at most."""
+    hubs = edges.groupBy("b").agg(F.min("a").alias("a"), F.collect_set("a").alias("hubs"))
+    return hubs.select("a", F.explode(F.array_union("hubs", F.array("b"))).alias("b")).filter("a <> b").distinct()
+
+
 def _rest(stars: DataFrame, links: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """node, label: the components of the links, and of those between members of the stars that are still to be found."""
-    labels = components(links)
+    labels = components(_thinned(links))
     named = written(stars.join(labels.withColumnRenamed("node", "b"), "b", "left").select("a", "b", F.coalesce("label", "b").alias("label")), "dedup-named")
     own = stars.select("a").distinct().join(labels.select(F.col("node").alias("a"), F.col("label").alias("own")), "a", "left").withColumn("own", F.coalesce("own", "a"))
     ends = named.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high")).join(own, "a")
     hubs = written(ends.filter("low <> own OR high <> own").select("a"), "dedup-open")
     if hubs.isEmpty():
         return labels
-    groups = components(lookup(named, hubs, "a").select("a", "b")).toDF("node", "unit")
+    groups = components(_thinned(lookup(named, hubs, "a").select("a", "b"))).toDF("node", "unit")
     rows = groups.join(labels, "node", "left").join(classes.select("node", "n"), "node").select("unit", "node", F.coalesce("label", "node").alias("label"), "n")
     rows = written(rows, "dedup-rest")
     whole = written(_undecided(rows), "dedup-rest-groups")
@@ -239,10 +256,10 @@ def _rest(stars: DataFrame, links: DataFrame, classes: DataFrame, texts: DataFra
     cost = fine.select("unit", "of").distinct().join(parts, "unit").groupBy("of").agg(F.sum("cost").alias("fine_cost")).withColumnRenamed("of", "unit")
     best = whole.join(cost, "unit", "left").withColumn("fine_cost", F.coalesce("fine_cost", F.lit(0)))
     whole_ones, fine_ones = best.filter("cost <= fine_cost").select("unit", "top"), best.filter("cost > fine_cost").select(F.col("unit").alias("of"))
-    chosen = lookup(rows, written(whole_ones, "dedup-rest-whole"), "unit").select("unit", "node", "n", (F.col("label") != F.col("top")).alias("centre"))
+    chosen = lookup(rows, written(whole_ones, "dedup-rest-whole"), "unit").select("unit", "node", "n", "label", (F.col("label") != F.col("top")).alias("centre"))
     small = lookup(lookup(fine, written(fine_ones, "dedup-rest-fine"), "of"), parts, "unit")
-    chosen = written(chosen.union(small.select("unit", "node", "n", (F.col("label") != F.col("top")).alias("centre"))), "dedup-rest-chosen")
-    return components(links.union(_confirmed(chosen, texts, width, percent)))
+    chosen = written(chosen.union(small.select("unit", "node", "n", "label", (F.col("label") != F.col("top")).alias("centre"))), "dedup-rest-chosen")
+    return components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).union(_confirmed(chosen, texts, width, percent)))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", numbered: bool = False) -> DataFrame:
@@ -264,7 +281,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
     stars = written(stars, "dedup-stars")
     of_hub = stars.select(F.col("a").alias("unit"), F.col("b").alias("node"), F.lit(False).alias("centre")).union(stars.select("a", "a", F.lit(True)).distinct())
     units = written(of_hub.join(classes.select("node", "n"), "node").select("unit", "node", "centre", "n"), "dedup-star-units")
-    links = written(_confirmed(units, texts, width, percent), "dedup-links")
+    links = written(_confirmed(units.withColumn("label", F.col("node")), texts, width, percent), "dedup-links")
     labels = _rest(stars, links, classes, texts, width, percent)
     joined = written(labels.join(classes.select("node", "rep"), "node"), "dedup-labels")
     least = joined.groupBy("label").agg(F.min("rep").alias("component_id"))
