@@ -126,6 +126,24 @@ def anchors(templates: list[tuple[str, str]] = TEMPLATES, min_cosine: float = MI
     return sorted(found)
 
 
+def any_of(terms: list[str]) -> str:
+    """A pattern of the whole words that are among terms (of [a-z0-9]), as a tree of prefixes: a word that isn't costs a few comparisons, not one a term."""
+    tree: dict = {}
+    for term in terms:
+        node = tree
+        for c in term:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ways = [c + pattern(node[c]) for c in sorted(node) if c]
+        if not ways:
+            return ""
+        return f"(?:{'|'.join(ways)})" + ("?" if "" in node else "")
+
+    return rf"(?i)\b(?=[{''.join(sorted(tree))}]){pattern(tree)}\b" if tree else "(?!)"
+
+
 def best_templates(sentences: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, min_cosine: float = MIN_COSINE) -> DataFrame:
     """key (the MD5), licence, cosine of the distinct units that reach min_cosine. sentences: a column sentence."""
     spark = sentences.sparkSession
@@ -147,7 +165,7 @@ def scan(files: DataFrame, path: Column, templates: list[tuple[str, str]] = TEMP
     """doc_id, path, own_licence, cosine, n_sentences, licence, inherited_from (a directory; the root is the empty string) of every file."""
     rows = files.select(files[id_col].alias("doc_id"), path.alias("path"), files[text_col].alias("text"))
     dir_of = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), "")
-    anchor = rf"(?i)\b(?:{'|'.join(anchors(templates, min_cosine))})\b"
+    anchor = any_of(anchors(templates, min_cosine))
     held = lambda units: F.filter(units, lambda u: u.rlike(anchor))
     n_words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
     likely = rows.filter(F.col("text").rlike(f"{anchor}|{_SPDX}")).withColumn("sentences", held(F.split("text", r"\n|(?<=[.!?;])\s+")))
